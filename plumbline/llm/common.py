@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose string column holds about `most` bytes each, so that arrays made from it stay small."""
+    text = batch.column(column)
+    o = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    at = 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(o, int(o[at]) + most, "right")) - 1)
+        yield batch.slice(at, min(end, len(text)) - at)
+        at = end
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import buffers, range_hash, table_of, whole_texts, word_ranges, BASES
+from plumbline.llm.common import BASES, buffers, range_hash, slices, table_of, whole_texts, word_ranges
 
 #: Classes of bytes whose shares are features.
 CLASSES = {
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(*buffers(batch.column(1)))
+            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(*buffers(part.column(1))) for part in slices(batch, 1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     # Rows of a repeated id can add more; the same bound holds for what reaches the driver.
@@ -174,10 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(at)
-            if text.null_count:
-                text = text.fill_null("")
-            s = pa.array(model.score(features(*buffers(text)), threshold))
+            s = pa.array(np.concatenate([np.zeros(0), *(model.score(features(*buffers(part.column(at).fill_null(""))), threshold) for part in slices(batch, at))]))
             columns = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, s], names=[*(batch.schema.names if keep else ["doc_id"]), score_name])
 
