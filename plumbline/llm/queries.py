@@ -10,7 +10,8 @@ from plumbline.llm.pieces import op3_sentencepiece
 from plumbline.llm.quality import op8_quality_classifier
 from plumbline.llm.recompression import op7_recompression
 from plumbline.llm.secrets import op2_secret_scan
+from plumbline.llm.suffixes import op5_induced_sorting
 from plumbline.llm.warc import OP9_SQL, op9_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_sentencepiece, op4_jaccard_join, op6_source_mixing, op7_recompression, op8_quality_classifier, op9_warc_revisits, op10_media_chunks)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_sentencepiece, op4_jaccard_join, op5_induced_sorting, op6_source_mixing, op7_recompression, op8_quality_classifier, op9_warc_revisits, op10_media_chunks)}
 ORACLE_SQL: dict[str, str] = {"op9_warc_revisits": OP9_SQL}
