@@ -4,8 +4,9 @@ A document is the set of its distinct word shingles. Sizes fall into bands; in a
 differ in at most k elements, so if the shingle domain is cut into more than k parts, they agree on whole parts. The
 domain has n1 parts of n2 = 2 sub-parts, of which every subset of n2 - k2 = 1 gives a signature: the band, the sub-part's
 number and a hash of the shingles in it. With k + 1 + 2 t sub-parts at least 2 t + 1 agree, so each document leaves out
-the t sub-parts that hold its fewest shingles (those that say least) and a common signature remains. Sets near the upper
-end of a band also sign for the next.
+its t signatures that most documents have (those that say least, such as of passages that many share): both partners
+leave out at most t of what they agree on, and a common signature remains. Sets near the upper end of a band also sign
+for the next.
 
 Documents that share a signature are verified exactly, on whole sets, but not all pairs of a bucket: first each document
 against one member of its buckets (stars), twice, then pairs of documents that are still in different components. Links
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import U, bitmap, buffers, mix, slices, stored, word_hashes
@@ -53,29 +54,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def signatures(s: np.ndarray, percent: int, n2: int = 2, k2: int = 1) -> np.ndarray:
-    """The signatures of one sorted set for pairs with 100 * intersection >= percent * union."""
+def layout(size: int, percent: int, k2: int = 1) -> tuple[int, int, int]:
+    """(n1, sub-parts, t) of a band by its upper end, for pairs with 100 * intersection >= percent * union."""
+    # (1 - p) * (|x| + |y|) >= (1 + p) * difference
+    k = int((100 - percent) * 2 * size // (100 + percent))
+    if not k:
+        return 1, 1, 0
+    spare = (k + 9) // 10
+    n1 = -(-(k + 1 + 2 * spare) // (k2 + 1))
+    return n1, n1 * (k2 + 1), spare
+
+
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, their bands) of one sorted set."""
     size = len(s)
     if not size:
-        return np.zeros(0, U)
+        return np.zeros(0, U), np.zeros(0, np.int8)
     own = int(np.searchsorted(BANDS, size))
     bands = [own] + ([own + 1] if 100 * size >= percent * (BANDS[own] + 1) else [])
     value = np.zeros(size + 1, U)
     np.cumsum(mix(s), out=value[1:])
     out = []
     for band in bands:
-        # (1 - p) * (|x| + |y|) >= (1 + p) * difference
-        k = int((100 - percent) * 2 * BANDS[band] // (100 + percent))
-        spare = (k + 9) // 10
-        n1 = -(-(k + 1 + 2 * spare) // (k2 + 1)) if k else 1
-        parts = n1 * n2 if k else 1
+        parts = layout(BANDS[band], percent)[1]
         bounds = np.searchsorted(((s >> U(32)) * U(parts)) >> U(32), np.arange(parts + 1, dtype=U))
-        number = np.arange(parts)
-        if spare:
-            number = np.sort(np.argsort(np.diff(bounds), kind="stable")[spare:])
-        total = value[bounds[number + 1]] - value[bounds[number]]
-        out.append(mix(total + mix(number.astype(U) * U(64) + U(band))))
-    return np.concatenate(out)
+        total = value[bounds[1:]] - value[bounds[:-1]]
+        out.append(mix(total + mix(np.arange(parts, dtype=U) * U(64) + U(band))))
+    return np.concatenate(out), np.repeat(np.array(bands, np.int8), [len(x) for x in out])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -119,15 +124,21 @@ class Join:
             for batch in batches:
                 for part in slices(batch, 2):
                     sets = shingle_sets(*buffers(part.column(2)), words)
-                    signs = pa.array([signatures(s, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), signs], names=["doc_id", "k1", "n", "signs"])
-
-        self.signed, _ = stored(self.corpus.distinct().mapInArrow(sign, "doc_id long, k1 long, n long, signs array<long>"), "signed")
-        rows = self.signed.select("doc_id", "n", F.explode("signs").alias("sign"))
-        often, _ = stored(rows.groupBy("sign").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("sign"), "often")
+                    made = [signatures(s, percent) for s in sets]
+                    ends = np.cumsum([0, *(len(x) for x, _ in made)]).astype(np.int32)
+                    flat = [np.concatenate([m[i] for m in made]) for i in (0, 1)]
+                    signs, bands = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat[0].view(np.int64), flat[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), signs, bands], names=["doc_id", "k1", "n", "signs", "bands"])
+
+        self.signed, _ = stored(self.corpus.distinct().mapInArrow(sign, "doc_id long, k1 long, n long, signs array<long>, bands array<byte>"), "signed")
+        rows = self.signed.select("doc_id", "n", F.explode(F.arrays_zip("signs", "bands")).alias("x")).select("doc_id", "n", F.col("x.signs").alias("sign"), F.col("x.bands").alias("band"))
+        often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("sign", "m"), "often")
         told = with_flags(rows, ["sign"], [bitmap(often, "sign", 1 << 26)])
-        #: Rows of signatures that several documents have.
-        self.rows, _ = stored(told.filter("perhaps").join(often, "sign", "left_semi").select("sign", "doc_id", "n"), "rows")
+        spare = F.element_at(F.array(*(F.lit(layout(b, percent)[2]) for b in BANDS)), F.col("band").cast("int") + 1)
+        nth = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("m"), "sign"))
+        met = told.filter("perhaps").drop("perhaps").join(often, "sign").withColumn("nth", nth).filter(F.col("nth") > spare)
+        #: Rows of signatures that several documents have, without each document's most common ones.
+        self.rows, _ = stored(met.select("sign", "doc_id", "n"), "rows")
         members = with_flags(self.corpus.distinct(), ["doc_id"], [bitmap(self.rows.select("doc_id").distinct(), "doc_id")])
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
@@ -165,6 +165,18 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     return plan(units(sizes), **settings)
 
 
+def mixed(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """The mix itself: each row of docs as many times as it was taken (0 to 2 times), with the columns of docs."""
+    keys = ["doc_id", "source", "size"]
+    decided = mix_sources(docs, **settings)
+    nth = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    decided = decided.withColumn("nth", nth("unit")).select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("nth").alias("nth_"), "copies")
+    rows = sized(docs, text_col).withColumn("nth", nth(F.xxhash64(text_col)))
+    same = [rows[k].eqNullSafe(decided[f"{k}_"]) for k in keys]
+    out = rows.join(decided, [*same, rows["nth"] == decided["nth_"]]).filter("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -366,6 +366,24 @@ def redact(text: str, spans: list[tuple[int, int, int]], by: str = "[secret]") -
     return "".join(parts) + (by if end >= 0 else "") + text[max(at, 0) :]
 
 
+def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret in text_col replaced; nulls stay null, all other columns as they are."""
+    scanner, at = compiled(rules), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text in batch.column(at).to_pylist():
+                data = (text or "").encode()
+                found = scanner.find(data)
+                texts.append(redact(text, code_points(data, text.isascii(), found)) if found else text)
+            columns = batch.columns
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def joined(spans) -> F.Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
