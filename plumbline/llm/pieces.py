@@ -133,6 +133,7 @@ class Model:
         self.runs = None if crossing else f"{MARK}*[^{MARK}]+|{MARK}+" if lines else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
         if self.squeeze:
@@ -181,7 +182,7 @@ class Model:
         return tuple(reversed(out))
 
     def encode(self, text: str, room: int = 1 << 17) -> list[int]:
-        """room: so many runs are remembered at most."""
+        """room: twice so many runs are remembered at most; those that recur outlive the others."""
         text = self.normal(text)
         if self.runs is None:
             return list(self.viterbi(text))
@@ -190,10 +191,11 @@ class Model:
         for run in re.findall(self.runs, text):
             got = cache.get(run)
             if got is None:
-                if len(cache) >= room:
-                    cache.clear()
-                got = self.viterbi(run)
+                got = self.older.get(run) or self.viterbi(run)
                 if len(run) < 64:
+                    if len(cache) >= room:
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[run] = got
             ids += got
         return ids

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import BASES, buffers, range_hash, slices, table_of, whole_texts, word_ranges
 
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
         score_name = "score"
         while score_name in names:
             score_name += "_"
-        ddl = schema.add(score_name, "double")
+        ddl = T.StructType([*schema.fields, T.StructField(score_name, T.DoubleType())])
     else:
         frame, at, ddl, score_name = whole_texts(docs, id_col, text_col).select("doc_id", "text"), 1, "doc_id long, score double", "score"
 
