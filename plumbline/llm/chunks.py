@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bitmap, marked, mix, stored, whole_texts
+from plumbline.llm.common import BITS, bitmap, marked, mix, stored, whole_texts
 
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
 UNIT = 192
@@ -80,7 +80,7 @@ def key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(media, chunks), both written to the shared folder and reread."""
     spark = docs.sparkSession
     texts = whole_texts(docs, id_col, text_col)

@@ -74,7 +74,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose string column holds about `most` bytes each, so that arrays made from it stay small."""
     text = batch.column(column)
     o = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
@@ -107,6 +107,17 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def gram_hashes(values: np.ndarray, n: int, base: int) -> np.ndarray:
+    """range_hash of every run of n values."""
+    up, down = powers(base, len(values) + 1)
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    out = total[n:] - total[: max(len(total) - n, 0)]
+    out *= down[: len(out)]
+    out += U(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    return mix(out)
+
+
 def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, word offsets by document): the words of each document as byte ranges."""
     inside = ~DELIMITER[data]
@@ -144,18 +155,31 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[at], ends[np.append(at[1:], len(starts)) - 1]
 
 
-def bitmap(values: DataFrame, column: str, bits: int = 1 << 24) -> bytes:
-    """A bitmap of `bits` bits (so never over bits / 8 bytes, whatever the input) with bit `column mod bits` set.
+#: Bits of a bitmap: whatever the input, it has at most BITS / 64 words of 8 bytes (2 MB), so it may be broadcast.
+BITS = 1 << 24
+
+
+def bit_words(values: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """A bitmap as rows (word, mask), at most bits / 64: bit `column mod bits` of each value is set.
 
-    It may be broadcast: a set bit means "perhaps in values", a clear one "certainly not".
+    A set bit means "perhaps among the values", a clear one "certainly not".
     """
     at = F.pmod(F.col(column), F.lit(bits))
-    words = (
-        values.select(at.alias("at"))
-        .groupBy(F.expr("at div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
-        .toArrow()
-    )
+    words = values.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word"))
+    return words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+
+
+def flagged(rows: DataFrame, column: str, words: DataFrame, name: str = "perhaps", bits: int = BITS) -> DataFrame:
+    """rows with `name`: whether the bit of the column is set in a bitmap of bit_words, by a join with its rows."""
+    words = words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
+    rows = rows.withColumn("_at", F.pmod(F.col(column), F.lit(bits)))
+    told = rows.join(F.broadcast(words), F.expr("_at div 64 = _word"), "left")
+    return told.withColumn(name, F.expr("coalesce(shiftrightunsigned(_mask, cast(_at % 64 as int)) & 1 = 1, false)")).drop("_at", "_word", "_mask")
+
+
+def bitmap(values: DataFrame, column: str, bits: int = BITS) -> bytes:
+    """The same bitmap in one piece, for tests inside Python tasks."""
+    words = bit_words(values, column, bits).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     return out.tobytes()
@@ -165,3 +189,8 @@ def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each int64 value's bit is set; bits: np.frombuffer(bitmap(...), np.uint64)."""
     at = np.mod(values.astype(np.int64), len(bits) * 64).astype(U)
     return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than the default: rows that hold texts are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

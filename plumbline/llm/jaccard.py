@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U, bitmap, buffers, mix, slices, stored, word_hashes
-from plumbline.llm.repeats import Corpus, with_flags
+from plumbline.llm.common import U, bit_words, buffers, flagged, mix, slices, stored, word_hashes
+from plumbline.llm.repeats import Corpus
 
 WORDS = 3
 #: Upper ends of the size bands, by a factor of 1.5 from 9 on.
@@ -122,8 +122,8 @@ class Join:
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, 2):
-                    sets = shingle_sets(*buffers(part.column(2)), words)
+                for part in slices(batch, 3):
+                    sets = shingle_sets(*buffers(part.column(3)), words)
                     made = [signatures(s, percent) for s in sets]
                     ends = np.cumsum([0, *(len(x) for x, _ in made)]).astype(np.int32)
                     flat = [np.concatenate([m[i] for m in made]) for i in (0, 1)]
@@ -133,13 +133,13 @@ class Join:
         self.signed, _ = stored(self.corpus.distinct().mapInArrow(sign, "doc_id long, k1 long, n long, signs array<long>, bands array<byte>"), "signed")
         rows = self.signed.select("doc_id", "n", F.explode(F.arrays_zip("signs", "bands")).alias("x")).select("doc_id", "n", F.col("x.signs").alias("sign"), F.col("x.bands").alias("band"))
         often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("sign", "m"), "often")
-        told = with_flags(rows, ["sign"], [bitmap(often, "sign", 1 << 26)])
+        told = flagged(rows, "sign", stored(bit_words(often, "sign"), "bits")[0])
         spare = F.element_at(F.array(*(F.lit(layout(b, percent)[2]) for b in BANDS)), F.col("band").cast("int") + 1)
         nth = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("m"), "sign"))
         met = told.filter("perhaps").drop("perhaps").join(often, "sign").withColumn("nth", nth).filter(F.col("nth") > spare)
         #: Rows of signatures that several documents have, without each document's most common ones.
         self.rows, _ = stored(met.select("sign", "doc_id", "n"), "rows")
-        members = with_flags(self.corpus.distinct(), ["doc_id"], [bitmap(self.rows.select("doc_id").distinct(), "doc_id")])
+        members = flagged(self.corpus.distinct(), "doc_id", stored(bit_words(self.rows.select("doc_id").distinct(), "doc_id"), "bits")[0])
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import U, buffers, mix, range_hash, slices, union, word_hashes
+from plumbline.llm.common import U, buffers, gram_hashes, mix, slices, union, word_hashes
 from plumbline.llm.repeats import Corpus
 
 WINDOW, ROUNDS = 20, 6
@@ -93,8 +93,8 @@ def anchors(words: np.ndarray, by_doc: np.ndarray, window: int) -> tuple[np.ndar
 
 def word_anchors(window: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 2):
-            words, by = word_hashes(*buffers(part.column(2)))
+        for part in slices(batch, 3):
+            words, by = word_hashes(*buffers(part.column(3)))
             fp, a, b = anchors(words, by, window)
             doc = np.searchsorted(by, a, "right") - 1
             ids = part.column(0).to_numpy()[doc]
@@ -110,9 +110,9 @@ def window_hashes(window: int):
         data, offsets = buffers(texts)
         words, by = word_hashes(data, offsets, family=1)
         n = len(words)
-        starts = np.arange(max(n - window + 1, 0))
         hashes = np.zeros(n + 1, U)
-        hashes[: len(starts)] = range_hash(words, starts, starts + window, 0x9E3779B97F4A7C15) | U(1)
+        found = gram_hashes(words, window, 0x9E3779B97F4A7C15) | U(1)
+        hashes[: len(found)] = found
         o = np.arange(window)
         at = by[doc][:, None] + pos[:, None] - o
         ok = (o <= (window - size)[:, None]) & (at >= by[doc][:, None]) & (at + window <= by[doc + 1][:, None])

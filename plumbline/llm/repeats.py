@@ -14,9 +14,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.llm.common import bitmap, marked, stored, whole_texts
+from plumbline.llm.common import bit_words, flagged, stored, text_batches, whole_texts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,32 +23,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return whole_texts(docs, id_col, text_col).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
 
 
-def with_flags(rows: DataFrame, columns: list[str], bits: list[bytes], name: str = "perhaps", packed: bool = False) -> DataFrame:
-    """rows with `name`: whether the bit of any of the columns is set in its bitmap; packed compresses the text.
-
-    The bitmaps have a fixed size, so they may be broadcast.
-    """
-    flags = rows.sparkSession.sparkContext.broadcast(bits)
-    fields = [T.StructField("ztext", T.BinaryType()) if packed and f.name == "text" else f for f in rows.schema.fields]
+def deflated(texts: pa.Array) -> pa.Array:
+    squeeze = zstandard.ZstdCompressor(3).compress
+    return pa.array([squeeze(t.as_buffer()) for t in texts], pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [np.frombuffer(b, np.uint64) for b in flags.value]
-        for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for c, m in zip(columns, maps, strict=True):
-                hit |= marked(m, batch.column(c).to_numpy(zero_copy_only=False))
-            arrays, names = list(batch.columns), list(batch.schema.names)
-            if packed:
-                at = names.index("text")
-                names[at], arrays[at] = "ztext", deflated(arrays[at])
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(hit)], names=[*names, name])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.BooleanType())]))
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, text) with the text compressed, before it is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], deflated(b.column(3))], names=["doc_id", "k1", "k2", "ztext"])
 
-def deflated(texts: pa.Array) -> pa.Array:
-    squeeze = zstandard.ZstdCompressor(3).compress
-    return pa.array([squeeze(t.as_buffer()) for t in texts], pa.binary())
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, ztext binary")
 
 
 def inflated(texts: pa.Array) -> pa.Array:
@@ -61,22 +47,23 @@ class Corpus:
     """Documents with equal texts folded: `copies` has (k1, k2, first, n) of each text that occurs more than once."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        text_batches(docs.sparkSession)
         self.rows = keyed(docs, id_col, text_col)
         groups = self.rows.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
         self.copies = stored(groups.filter("n > 1"), "copies")[0]
-        self.bits = bitmap(self.copies, "k1")
+        self.words, _ = stored(bit_words(self.copies, "k1"), "bits")
 
     def distinct(self) -> DataFrame:
-        """(doc_id, k1, text), one row of each text. Only texts that may have copies are shuffled."""
-        told = with_flags(self.rows, ["k1"], [self.bits])
-        once = told.filter("not perhaps").select("doc_id", "k1", "text")
+        """(doc_id, k1, k2, text), one row of each text. Only texts that may have copies are shuffled."""
+        told = flagged(self.rows, "k1", self.words)
+        once = told.filter("not perhaps").select("doc_id", "k1", "k2", "text")
         firsts = told.filter("perhaps").join(self.copies, ["k1", "k2"], "left").filter("first is null or doc_id <=> first")
-        return once.unionByName(firsts.dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "text"))
+        return once.unionByName(firsts.dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text"))
 
     def meeting(self, anchors: Callable, group_rows: int = 20_000) -> DataFrame:
         """(doc_id, hits array<struct<fp, pos, size, salts>>): the anchors that occur more than once, by document.
 
-        anchors(batch) yields (fp, doc_id, pos, size) record batches of a (doc_id, k1, text) batch.
+        anchors(batch) yields (fp, doc_id, pos, size) record batches of a (doc_id, k1, k2, text) batch.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +78,12 @@ class Corpus:
 
     def around(self, hits: DataFrame, cut: Callable, extra: str) -> DataFrame:
         """cut(bytes of a text, hits) -> columns after (fp, salt, salts, doc_id, k1, pos, size), given as DDL in extra."""
-        deal = self.distinct().mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), deflated(b.column(2))], names=["doc_id", "k1", "ztext"]) for b in bs), "doc_id long, k1 long, ztext binary")
         names = ["fp", "salt", "salts", "doc_id", "k1", "pos", "size", *(c.split()[0] for c in extra.split(", "))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, 256):
-                    batch = whole.slice(start, 256)
+                for start in range(0, whole.num_rows, 128):
+                    batch = whole.slice(start, 128)
                     texts = inflated(batch.column("ztext"))
                     hit = batch.column("hits")
                     each = np.diff(np.asarray(hit.offsets))
@@ -111,7 +97,7 @@ class Corpus:
                     base = [fp, salt, salts, ids, k1, pos, size]
                     yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in base), *columns], names=names)
 
-        return deal.join(hits, "doc_id").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
+        return packed(self.distinct()).drop("k2").join(hits, "doc_id").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 
     def spans(self, segments: DataFrame, judge: Callable, extra: str) -> DataFrame:
         """Spans (doc_id, k1, start, end) of all windows that recur.
@@ -153,8 +139,8 @@ class Corpus:
         Only texts with spans or copies are shuffled, with the spans of a text beside it.
         """
         per_text = spans.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        told = with_flags(self.rows, ["k1", "k1"], [self.bits, bitmap(spans.select("k1").distinct(), "k1")])
-        other = with_flags(self.rows, ["k1", "k1"], [self.bits, bitmap(spans.select("k1").distinct(), "k1")], packed=True)
+        either = self.copies.select("k1").unionByName(spans.select("k1").distinct())
+        told = flagged(self.rows, "k1", stored(bit_words(either, "k1"), "bits")[0])
         names = ["doc_id", *(c.split()[0] for c in outputs.split(", "))]
 
         def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +165,7 @@ class Corpus:
 
         ddl = f"doc_id long, {outputs}"
         once = told.filter("not perhaps").select("doc_id", "text").mapInArrow(plain, ddl)
-        joined = other.filter("perhaps").join(self.copies, ["k1", "k2"], "left").join(per_text, ["doc_id", "k1"], "left")
+        joined = packed(told.filter("perhaps")).join(self.copies, ["k1", "k2"], "left").join(per_text, ["doc_id", "k1"], "left")
         return once.unionByName(joined.select("doc_id", "ztext", "spans", "first", "n").mapInArrow(spanned, ddl))
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import BASES, U, buffers, range_hash, slices, table_of, union
+from plumbline.llm.common import BASES, U, buffers, gram_hashes, slices, table_of, union
 from plumbline.llm.repeats import Corpus
 
 LENGTH, GRAM = 200, 73
@@ -39,17 +39,16 @@ def byte_anchors(length: int, gram: int):
     reach = length - gram + 1  # grams in a string
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 2):
-            data, offsets = buffers(part.column(2))
+        for part in slices(batch, 3):
+            data, offsets = buffers(part.column(3))
             if len(data) < length:
                 continue
-            starts = np.arange(len(data) - gram + 1)
-            h = range_hash(table_of(0)[data], starts, starts + gram, BASES[0])
-            low = ((h >> PLACE) << PLACE) | starts.astype(U)
+            h = gram_hashes(table_of(0)[data], gram, BASES[0])
+            low = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=U)
             covered = 1
             while covered < reach:
                 step = min(covered, reach - covered)
-                low[:-step] = np.minimum(low[:-step], low[step:])
+                np.minimum(low[:-step], low[step:], out=low[:-step])
                 covered += step
             inside = np.zeros(len(data) + 1, np.int64)
             long = np.diff(offsets) >= length

@@ -19,13 +19,11 @@ import io
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.llm.common import bitmap, marked, shared_dir, stored
+from plumbline.llm.common import BITS, bit_words, flagged, shared_dir, stored
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -41,24 +39,15 @@ def uri(url) -> F.Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, bits: int = 1 << 24) -> DataFrame:
+def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, bits: int = BITS) -> DataFrame:
     """(page_id, url, payload, n_bytes, sha1, original, original_url): original is null for responses."""
-    spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "key": F.xxhash64("payload")})
     digests = rows.filter(F.col("n_bytes") >= least).select("sha256", "key", "page_id", "url")
     groups = digests.groupBy("sha256", "key").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("first")).filter("n > 1")
     groups, _ = stored(groups.select("sha256", "key", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "groups")
-    flags = spark.sparkContext.broadcast(bitmap(groups, "key", bits))
-
-    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flag = np.frombuffer(flags.value, np.uint64)
-        for batch in batches:
-            again = marked(flag, batch.column("key").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again)], names=[*batch.schema.names, "again"])
-
-    told = rows.mapInArrow(perhaps, T.StructType([*rows.schema.fields, T.StructField("again", T.BooleanType())]))
+    told = flagged(rows, "key", stored(bit_words(groups, "key", bits), "bits")[0], "again", bits)
     keep = ["page_id", "url", "payload", "n_bytes", "sha1", "original", "original_url"]
     alone = told.filter(~F.col("again") | (F.col("n_bytes") < least)).withColumns({"original": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")})
     # AQE splits the partition of a payload that many pages share.
