@@ -99,9 +99,9 @@ def land(p: np.ndarray, size: np.ndarray, flips: int = 4) -> np.ndarray:
     return p
 
 
-def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `size`: the number of words of the whole text."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, text_col: str = "text", name: str = "size") -> DataFrame:
+    """docs with `name`: the number of words of the whole text."""
+    return docs.withColumn(name, F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = 20_000) -> DataFrame:
@@ -168,13 +168,14 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 def mixed(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The mix itself: each row of docs as many times as it was taken (0 to 2 times), with the columns of docs."""
     keys = ["doc_id", "source", "size"]
-    decided = mix_sources(docs, **settings)
-    nth = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    decided = decided.withColumn("nth", nth("unit")).select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("nth").alias("nth_"), "copies")
-    rows = sized(docs, text_col).withColumn("nth", nth(F.xxhash64(text_col)))
-    same = [rows[k].eqNullSafe(decided[f"{k}_"]) for k in keys]
-    out = rows.join(decided, [*same, rows["nth"] == decided["nth_"]]).filter("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    decided = mix_sources(docs.select("doc_id", "source", F.col(text_col).alias("text")), **settings)
+    nth = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    decided = decided.withColumn("nth", nth(keys, "unit")).select(*(F.col(k).alias(f"_mix_{k}") for k in keys), F.col("nth").alias("_mix_nth"), F.col("copies").alias("_mix_copies"))
+    rows = sized(docs, text_col, "_size")
+    rows = rows.withColumn("_nth", nth(["doc_id", "source", "_size"], F.xxhash64(text_col)))
+    same = [rows[k].eqNullSafe(decided[f"_mix_{m}"]) for k, m in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"))]
+    out = rows.join(decided, [*same, rows["_nth"] == decided["_mix_nth"]]).filter("_mix_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
