@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm import oracles
 from plumbline.llm.chunks import op10_media_chunks
 from plumbline.llm.jaccard import op4_jaccard_join
 from plumbline.llm.mixing import op6_source_mixing
@@ -14,4 +15,4 @@ from plumbline.llm.suffixes import op5_induced_sorting
 from plumbline.llm.warc import OP9_SQL, op9_warc_revisits
 
 QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_sentencepiece, op4_jaccard_join, op5_induced_sorting, op6_source_mixing, op7_recompression, op8_quality_classifier, op9_warc_revisits, op10_media_chunks)}
-ORACLE_SQL: dict[str, str] = {"op9_warc_revisits": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {**oracles.ORACLE_SQL, "op9_warc_revisits": OP9_SQL}

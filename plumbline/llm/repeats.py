@@ -71,10 +71,11 @@ class Corpus:
                 yield from anchors(batch)
 
         found = self.distinct().mapInArrow(run, "fp long, doc_id long, pos int, size int")
-        often = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
         salts = F.ceil(F.col("n") / group_rows).cast("int").alias("salts")
+        often, _ = stored(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp", salts), "often")
+        told = flagged(found, "fp", stored(bit_words(often, "fp"), "bits")[0]).filter("perhaps").drop("perhaps")
         # AQE splits the partitions of frequent anchors; a document's list is at most as long as its text.
-        return found.join(often.select("fp", salts), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "size", "salts")).alias("hits"))
+        return told.join(often, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "size", "salts")).alias("hits"))
 
     def around(self, hits: DataFrame, cut: Callable, extra: str) -> DataFrame:
         """cut(bytes of a text, hits) -> columns after (fp, salt, salts, doc_id, k1, pos, size), given as DDL in extra."""
