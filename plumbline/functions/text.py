@@ -54,7 +54,7 @@ TAIL, LEAST, BLANK_SHARE, LINE_LENGTH, TIMES, PROBE, PROBE_SOLID = 1500, 200, 0.
 
 def degenerate(text: Column) -> Column:
     """Whether the end of a text loops: mostly blank, a line six times, or its last 24 characters six times."""
-    tail = F.substring(text, -TAIL, TAIL) if isinstance(TAIL, int) else text
+    tail = F.substring(text, -TAIL, TAIL)
     solid = F.regexp_replace(tail, r"\s", "")
     blank = F.char_length(solid) <= (1 - BLANK_SHARE) * F.char_length(tail)
     lines = F.filter(F.transform(F.split(tail, r"\r\n|\n|\r"), F.trim), lambda x: F.char_length(x) >= LINE_LENGTH)
@@ -67,8 +67,7 @@ def degenerate(text: Column) -> Column:
 
 def first_match(rules: list[tuple[str, Column]], default: str) -> Column:
     """The label of the first condition that holds."""
-    out = F.coalesce(*(F.when(c, F.lit(label)) for label, c in rules), F.lit(default))
-    return out
+    return F.coalesce(*(F.when(c, F.lit(label)) for label, c in rules), F.lit(default))
 
 
 def stable_pick(key: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,11 +51,9 @@ def assemble(stream: DataFrame, size: int, newest: int, bound: int) -> DataFrame
 def batches(groups: DataFrame, target: int) -> DataFrame:
     """Kept groups cut into batches of at least `target` answers, by group id: batch numbers from 0.
 
-    The cut is a running sum over all groups in their order, as in the original: a single sequence that can't scale out.
+    The cut is a running sum over all groups in their order: a single sequence that can't scale out.
     It runs inside foreachBatch on one micro-batch's groups, not on the corpus.
     """
-    from pyspark.sql import Window
-
     done = F.sum(F.size("rewards")).over(Window.orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1))
     return groups.filter("kept").withColumn("batch", F.floor(F.coalesce(done, F.lit(0)) / target).cast("long"))
 
