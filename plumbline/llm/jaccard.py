@@ -9,8 +9,9 @@ leave out at most t of what they agree on, and a common signature remains. Sets
 for the next.
 
 Documents that share a signature are verified exactly, on whole sets, but not all pairs of a bucket: first each document
-against one member of its buckets (stars), twice, then pairs of documents that are still in different components. Links
-inside a component can't change it. Nothing is capped: the last round takes all remaining pairs.
+against one member of its buckets (stars), twice, then all pairs of documents that are still in different components and
+can link by what sets them apart from the core of their family (`Join.rest`). Links inside a component can't change it,
+and nothing is capped.
 
 Equal texts are folded before. Nulls and texts without words have an empty set and link with nothing. Rows that repeat
 an id are one node, linked as any of their texts is. Extra columns are ignored.
@@ -120,19 +121,26 @@ class Join:
         self.words, self.percent = words, percent
         self.corpus = Corpus(docs, id_col, text_col)
 
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 3):
+                    sizes = [len(s) for s in shingle_sets(*buffers(part.column(3)), words)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "k1", "n"])
+
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, 3):
                     sets = shingle_sets(*buffers(part.column(3)), words)
                     made = [signatures(s, percent) for s in sets]
-                    ends = np.cumsum([0, *(len(x) for x, _ in made)]).astype(np.int32)
-                    flat = [np.concatenate([m[i] for m in made]) for i in (0, 1)]
-                    signs, bands = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat[0].view(np.int64), flat[1]))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), signs, bands], names=["doc_id", "k1", "n", "signs", "bands"])
-
-        self.signed, _ = stored(self.corpus.distinct().mapInArrow(sign, "doc_id long, k1 long, n long, signs array<long>, bands array<byte>"), "signed")
-        rows = self.signed.select("doc_id", "n", F.explode(F.arrays_zip("signs", "bands")).alias("x")).select("doc_id", "n", F.col("x.signs").alias("sign"), F.col("x.bands").alias("band"))
-        often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("sign", "m"), "often")
+                    each = [len(m[0]) for m in made]
+                    ids, sizes = np.repeat(part.column(0).to_numpy(), each), np.repeat([len(s) for s in sets], each)
+                    signs, bands = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(signs.view(np.int64)), pa.array(bands)], names=["doc_id", "n", "sign", "band"])
+
+        # Signatures are made twice rather than kept: they would take more room than the texts.
+        self.sizes, _ = stored(self.corpus.distinct().mapInArrow(count, "doc_id long, k1 long, n long"), "sizes")
+        rows = self.corpus.distinct().mapInArrow(sign, "doc_id long, n long, sign long, band byte")
+        often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m")).filter("m > 1"), "often")
         told = flagged(rows, "sign", stored(bit_words(often, "sign"), "bits")[0])
         spare = F.element_at(F.array(*(F.lit(layout(b, percent)[2]) for b in BANDS)), F.col("band").cast("int") + 1)
         nth = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("m"), "sign"))
@@ -161,9 +169,15 @@ class Join:
                 ok = [linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        x, y = self.sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), self.sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+        pairs, _ = stored(pairs, "pairs")
+        x, y = (self.wanted(pairs.select(c)).select(F.col("doc_id").alias(c), F.col("set").alias(s)) for c, s in (("a", "x"), ("b", "y")))
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")[0]
 
+    def wanted(self, ids: DataFrame) -> DataFrame:
+        """The sets of these documents and perhaps of a few others: sets are large, so the rest stays out of shuffles."""
+        words, _ = stored(bit_words(ids.distinct(), ids.columns[0]), "bits")
+        return flagged(self.sets, "doc_id", words).filter("perhaps").select("doc_id", "set")
+
     def with_labels(self, labels: DataFrame | None) -> DataFrame:
         """Rows of buckets that hold several components, with the component."""
         if labels is None:
@@ -183,10 +197,62 @@ class Join:
         return shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
     def rest(self, labels: DataFrame) -> DataFrame:
-        """All pairs of a bucket that lie in different components."""
-        rows = self.with_labels(labels)
-        a, b = (rows.select("sign", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
-        return a.join(b, "sign").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.similar_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+        """All pairs of different components that can still link, of the documents whose buckets hold several.
+
+        Documents joined by buckets form families. A family's core is what more than half of its sets hold, and D is
+        what a set and the core don't share, so two sets differ in as many elements as their Ds do. Two sets that link
+        without a common element of D also link with the member that has the smallest D for its size; others have a
+        common element among the rarest of their Ds. So a family of near copies gives few pairs beyond its true links.
+        """
+        rows, _ = stored(self.with_labels(labels), "open")
+        centres = rows.groupBy("sign").agg(F.min("doc_id").alias("b"))
+        families = components(rows.join(centres, "sign").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
+        docs = rows.select("doc_id", "n", "label").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("label").alias("family")), "doc_id")
+        docs, _ = stored(docs.join(self.wanted(docs.select("doc_id")), "doc_id").select("family", "doc_id", "n", "label", "set"), "families")
+
+        def exploded(keep: int, change):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for start in range(0, whole.num_rows, 100):
+                        batch = whole.slice(start, 100)
+                        sets = change(batch)
+                        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in sets]))
+                        size = pa.array(np.repeat([len(x) for x in sets], [len(x) for x in sets]).astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:keep]), size, pa.array(np.concatenate(sets))], names=[*batch.schema.names[:keep], "size", "element"])
+
+            return run
+
+        raw = lambda batch: [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(batch.schema.names.index("set"))]
+        elements = docs.select("family", "set").mapInArrow(exploded(1, raw), "family long, size long, element long")
+        members = docs.groupBy("family").agg(F.count("*").alias("m"))
+        frequent = elements.groupBy("family", "element").agg(F.count("*").alias("c")).filter("c > 1").join(members, "family").filter("2 * c > m")
+        core = frequent.groupBy("family").agg(F.collect_list("element").alias("core"))  # fewer than two sets hold
+
+        def apart(batch: pa.RecordBatch) -> list[np.ndarray]:
+            cores = batch.column(batch.schema.names.index("core"))
+            none = np.zeros(0, np.int64)
+            return [np.setxor1d(x, np.asarray(c.values) if c.is_valid else none) for x, c in zip(raw(batch), cores, strict=True)]
+
+        told = docs.join(core, "family", "left").select("family", "doc_id", "n", "label", "set", "core")
+        different, _ = stored(told.mapInArrow(exploded(4, apart), "family long, doc_id long, n long, label long, size long, element long"), "different")
+
+        share = (100 - self.percent) / (100 + self.percent)  # of both sizes: so many elements may differ
+        sizes = different.groupBy("family", "doc_id", "n", "label").agg(F.first("size").alias("size"))
+        every = docs.select("family", "doc_id", "n", "label").join(sizes.select("doc_id", "size"), "doc_id", "left").fillna(0, ["size"])
+        nearest = every.groupBy("family").agg(F.min_by(F.struct("doc_id", "n", "label"), F.struct(F.col("size") - share * F.col("n"), F.col("doc_id"))).alias("z"))
+        to_core = every.join(nearest, "family").filter((F.col("label") != F.col("z.label")) & self.similar_sizes(F.col("n"), F.col("z.n"))).select(F.col("doc_id").alias("a"), F.col("z.doc_id").alias("b"))
+
+        known = different.groupBy("family", "element").agg(F.count("*").alias("c"))
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "element"))
+        longest = F.floor((F.col("size") + share * F.col("n") * (1 + 100 / self.percent)) / 2 + 1 + 1e-6)
+        rare = different.join(known, ["family", "element"]).withColumn("nth", nth).filter((F.col("nth") <= longest) & (F.col("c") > 1))
+        rare, _ = stored(rare.select("family", "element", "doc_id", "n", "label", "size", "nth"), "rare")
+        x, y = (rare.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "size", "nth"))) for k in "xy")
+        allowed = share * (F.col("n_x") + F.col("n_y")) + 1e-6
+        within = lambda p, q: F.col(f"nth_{p}") <= (F.col(f"size_{p}") - F.col(f"size_{q}") + allowed) / 2 + 1
+        apart_ = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y"))
+        close = x.join(y, ["family", "element"]).filter(apart_ & self.similar_sizes(F.col("n_x"), F.col("n_y")) & within("x", "y") & within("y", "x"))
+        return close.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).unionByName(to_core).distinct()
 
     def labels(self, stars: int = 2) -> DataFrame:
         links = self.verified(self.star(None, 0))
@@ -202,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest id that links reach."""
     join = Join(docs, id_col, text_col, words, percent)
     labels = join.labels().select(F.col("node").alias("first"), "label")
-    sizes = join.signed.select(F.col("doc_id").alias("first"), "k1", F.col("n").alias("n_shingles"))
+    sizes = join.sizes.select(F.col("doc_id").alias("first"), "k1", F.col("n").alias("n_shingles"))
     rows = join.corpus.rows.select("doc_id", "k1", "k2").join(join.corpus.copies.drop("n"), ["k1", "k2"], "left").withColumn("first", F.coalesce("first", "doc_id"))
     out = rows.join(sizes, ["first", "k1"], "left").join(labels, "first", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id"))
