@@ -66,7 +66,7 @@ def symbols(words: np.ndarray, by_doc: np.ndarray, window: int, rounds: int = RO
         a, b, doc = new_a, new_b, doc[at]
         use = made & (b - a <= window)
         if not use.any():
-            break
+            continue  # later rounds may still make symbols that fit, whatever else lies in the slice
         out.append((np.full(int(use.sum()), level, np.uint8), name[use], a[use], b[use]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

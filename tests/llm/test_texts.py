@@ -237,6 +237,18 @@ def test_random_repeats(spark, seed):
     assert byte_rows(df, length=24, gram=9) == brute_bytes(rows, 24)
 
 
+def test_anchors_of_a_short_document_alone():
+    """A document's anchors don't depend on what else lies in its slice."""
+    rng = np.random.default_rng(9)
+    long = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for n in rng.integers(20, 30, 200).tolist():
+        short = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        alone = recompression.anchors(short, np.array([0, n]), 20)
+        beside = recompression.anchors(np.concatenate([short, long]), np.array([0, n, n + len(long)]), 20)
+        here = beside[1] < n
+        assert [x.tolist() for x in alone] == [x[here].tolist() for x in beside]
+
+
 def test_groups_judged_in_parts(spark):
     """Groups larger than group_rows go through the salted level."""
     rows = [(i, f"x{i} " + " ".join(f"s{j}" for j in range(60)) + f" y{i % 3}") for i in range(50)]
