@@ -4,7 +4,8 @@ Words get 64-bit names. In each round every symbol falls into one of two classes
 left symbol followed by a right one becomes a named pair, and equal neighbours that found no partner become a named run.
 A name is a hash of what it stands for, so tasks agree on it without asking each other: equal substrings get equal
 interior symbols wherever they stand. With each symbol goes the range of words that determines it (a pair needs its two
-parts alone, a run and a symbol that stays alone need their neighbours); a window holds a symbol if it holds that range.
+parts alone, a run and a symbol that stays alone need their neighbours, and the partner of a neighbour of the same name);
+a window holds a symbol if it holds that range.
 
 Each window is represented by the highest symbol it holds (ties by name). Spark counts these symbols over all documents;
 those that occur once are dropped, and the others meet by name, each with the hashes of the windows around it. Within a
@@ -57,6 +58,9 @@ def symbols(words: np.ndarray, by_doc: np.ndarray, window: int, rounds: int = RO
         # What stays alone, and runs, are determined with both neighbours in view.
         before, after = np.maximum(at - 1, 0), np.minimum(last + 1, len(name) - 1)
         has_before, has_after = (at > 0) & (doc[before] == doc[at]), (last < len(name) - 1) & (doc[after] == doc[at])
+        # A neighbour of the same name would belong to the run but for its own partner beyond, so that one counts too.
+        before = np.where(has_before & (name[before] == name[at]), np.maximum(before - 1, 0), before)
+        after = np.where(has_after & (name[after] == name[at]), np.minimum(after + 1, len(name) - 1), after)
         new_a = np.where(is_pair, a[at], np.where(has_before, a[before], a[at] - FAR))
         new_b = np.where(is_pair, b[last], np.where(has_after, b[after], b[last] + FAR))
         made = is_pair | (size > 1)

@@ -249,6 +249,31 @@ def test_anchors_of_a_short_document_alone():
         assert [x.tolist() for x in alone] == [x[here].tolist() for x in beside]
 
 
+@pytest.mark.parametrize("window", [6, 20])
+def test_passages_that_begin_and_end_with_doubled_words(window):
+    """A passage of just a window has a common anchor in all contexts."""
+    rng = np.random.default_rng(10)
+    names = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    for _ in range(1500):
+        passage = names[rng.integers(0, 12, window)]
+        kind = rng.integers(0, 3)
+        if kind == 0:
+            passage[1], passage[-2] = passage[0], passage[-1]
+        elif kind == 1:
+            passage[2:4], passage[-4:-2] = passage[:2], passage[-2:]
+        else:
+            passage[:] = np.resize(passage[: rng.integers(1, 4)], window)
+        found = []
+        for _ in range(2):
+            left, right = (names[rng.integers(0, 12, rng.integers(0, 9))] for _ in range(2))
+            if rng.random() < 0.5:
+                left, right = np.append(left, passage[0]), np.insert(right, 0, passage[-1])
+            fp, a, b = recompression.anchors(np.concatenate([left, passage, right]), np.array([0, len(left) + window + len(right)]), window)
+            inside = (a >= len(left)) & (b <= len(left) + window)
+            found.append(set(zip(fp[inside].tolist(), (a[inside] - len(left)).tolist(), strict=True)))
+        assert found[0] & found[1]
+
+
 def test_groups_judged_in_parts(spark):
     """Groups larger than group_rows go through the salted level."""
     rows = [(i, f"x{i} " + " ".join(f"s{j}" for j in range(60)) + f" y{i % 3}") for i in range(50)]
