@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`, each on all rows that the one before kept.
 
 quality: rows that the ranking model scores under 0.3 go. near_duplicates: of each group linked by five-word shingles at
-a similarity of 0.8, the row with the smallest id stays. secrets: secrets are replaced in the texts. mixing: rows are
+a similarity of 0.8, the row with the smallest id stays (one row of a group without ids). secrets: secrets are replaced in the texts. mixing: rows are
 taken 0 to 2 times so that each source comes near its target. tokens: SentencePiece ids of what was taken.
 """
 
@@ -22,10 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_duplicates(docs, words=5, percent=80)
+    groups, _ = stored(jaccard.grouped(docs, words=5, percent=80), "groups")
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    # Of a group without any id, the text with the smallest key stays.
+    nameless = groups.filter("component_id is null and k1 = label").select(F.col("k1").alias("_n1"), F.col("k2").alias("_n2")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    rest = docs.filter("doc_id is null").withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+    rest = rest.join(nameless, (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")), "left_semi").select(*docs.columns)
     # Of rows that repeat an id and its text, one stays.
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.unionByName(rest).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

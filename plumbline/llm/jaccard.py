@@ -13,8 +13,10 @@ against one member of its buckets (stars), twice, then all pairs of documents th
 can link by what sets them apart from the core of their family (`Join.rest`). Links inside a component can't change it,
 and nothing is capped.
 
-Equal texts are folded before. Nulls and texts without words have an empty set and link with nothing. Rows that repeat
-an id are one node, linked as any of their texts is. Extra columns are ignored.
+Equal texts are folded before, and a hash of the text (`node`) stands for each, since ids may repeat or be null. Nulls and
+texts without words have an empty set and link with nothing. Rows that repeat an id are one node, linked as any of their
+texts is. Null ids are equal to no other: such rows link by their texts alone, and their component_id is null if no row
+that links reach has an id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ class Join:
             for batch in batches:
                 for part in slices(batch, 3):
                     sizes = [len(s) for s in shingle_sets(*buffers(part.column(3)), words)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "k1", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(0), pa.array(sizes, pa.int64())], names=["node", "k2", "doc_id", "n"])
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -133,29 +135,29 @@ class Join:
                     sets = shingle_sets(*buffers(part.column(3)), words)
                     made = [signatures(s, percent) for s in sets]
                     each = [len(m[0]) for m in made]
-                    ids, sizes = np.repeat(part.column(0).to_numpy(), each), np.repeat([len(s) for s in sets], each)
+                    ids, sizes = np.repeat(part.column(1).to_numpy(), each), np.repeat([len(s) for s in sets], each)
                     signs, bands = (np.concatenate([m[i] for m in made]) for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(signs.view(np.int64)), pa.array(bands)], names=["doc_id", "n", "sign", "band"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(signs.view(np.int64)), pa.array(bands)], names=["node", "n", "sign", "band"])
 
         # Signatures are made twice rather than kept: they would take more room than the texts.
-        self.sizes, _ = stored(self.corpus.distinct().mapInArrow(count, "doc_id long, k1 long, n long"), "sizes")
-        rows = self.corpus.distinct().mapInArrow(sign, "doc_id long, n long, sign long, band byte")
+        self.sizes, _ = stored(self.corpus.distinct().mapInArrow(count, "node long, k2 long, doc_id long, n long"), "sizes")
+        rows = self.corpus.distinct().mapInArrow(sign, "node long, n long, sign long, band byte")
         often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m")).filter("m > 1"), "often")
         told = flagged(rows, "sign", stored(bit_words(often, "sign"), "bits")[0])
         spare = F.element_at(F.array(*(F.lit(layout(b, percent)[2]) for b in BANDS)), F.col("band").cast("int") + 1)
-        nth = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("m"), "sign"))
+        nth = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("m"), "sign"))
         met = told.filter("perhaps").drop("perhaps").join(often, "sign").withColumn("nth", nth).filter(F.col("nth") > spare)
         #: Rows of signatures that several documents have, without each document's most common ones.
-        self.rows, _ = stored(met.select("sign", "doc_id", "n"), "rows")
-        members = flagged(self.corpus.distinct(), "doc_id", stored(bit_words(self.rows.select("doc_id").distinct(), "doc_id"), "bits")[0])
+        self.rows, _ = stored(met.select("sign", "node", "n"), "rows")
+        members = flagged(self.corpus.distinct(), "k1", stored(bit_words(self.rows.select("node").distinct(), "node"), "bits")[0])
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, 1):
                     sets = shingle_sets(*buffers(part.column(1)), words)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-        self.sets, _ = stored(members.filter("perhaps").select("doc_id", "text").mapInArrow(collect, "doc_id long, set binary"), "sets")
+        self.sets, _ = stored(members.filter("perhaps").select("k1", "text").mapInArrow(collect, "node long, set binary"), "sets")
 
     def similar_sizes(self, n, m) -> F.Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -170,19 +172,19 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         pairs, _ = stored(pairs, "pairs")
-        x, y = (self.wanted(pairs.select(c)).select(F.col("doc_id").alias(c), F.col("set").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        x, y = (self.wanted(pairs.select(c)).select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("a", "x"), ("b", "y")))
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")[0]
 
     def wanted(self, ids: DataFrame) -> DataFrame:
         """The sets of these documents and perhaps of a few others: sets are large, so the rest stays out of shuffles."""
         words, _ = stored(bit_words(ids.distinct(), ids.columns[0]), "bits")
-        return flagged(self.sets, "doc_id", words).filter("perhaps").select("doc_id", "set")
+        return flagged(self.sets, "node", words).filter("perhaps").select("node", "set")
 
     def with_labels(self, labels: DataFrame | None) -> DataFrame:
         """Rows of buckets that hold several components, with the component."""
         if labels is None:
-            return self.rows.withColumn("label", F.col("doc_id"))
-        rows = self.rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+            return self.rows.withColumn("label", F.col("node"))
+        rows = self.rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows, _ = stored(rows, "labelled")
         open_ = rows.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("sign")
         return rows.join(open_, "sign", "left_semi")
@@ -190,10 +192,10 @@ class Join:
     def star(self, labels: DataFrame | None, turn: int) -> DataFrame:
         """One pair for each document: with the bucket centre of another component that it shares most signatures with."""
         rows = self.with_labels(labels)
-        order = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
-        centres = rows.groupBy("sign").agg(F.min_by(F.struct("doc_id", "n", "label"), order).alias("c"))
+        order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
+        centres = rows.groupBy("sign").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c"))
         pairs = rows.join(centres, "sign").filter((F.col("c.label") != F.col("label")) & self.similar_sizes(F.col("n"), F.col("c.n")))
-        shared = pairs.groupBy(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).count()
+        shared = pairs.groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
         return shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
     def rest(self, labels: DataFrame) -> DataFrame:
@@ -205,10 +207,10 @@ class Join:
         common element among the rarest of their Ds. So a family of near copies gives few pairs beyond its true links.
         """
         rows, _ = stored(self.with_labels(labels), "open")
-        centres = rows.groupBy("sign").agg(F.min("doc_id").alias("b"))
-        families = components(rows.join(centres, "sign").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
-        docs = rows.select("doc_id", "n", "label").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("label").alias("family")), "doc_id")
-        docs, _ = stored(docs.join(self.wanted(docs.select("doc_id")), "doc_id").select("family", "doc_id", "n", "label", "set"), "families")
+        centres = rows.groupBy("sign").agg(F.min("node").alias("b"))
+        families = components(rows.join(centres, "sign").select(F.col("node").alias("a"), "b").filter("a <> b").distinct())
+        docs = rows.select("node", "n", "label").distinct().join(families.select("node", F.col("label").alias("family")), "node")
+        docs, _ = stored(docs.join(self.wanted(docs.select("node")), "node").select("family", "node", "n", "label", "set"), "families")
 
         def exploded(keep: int, change):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,46 +235,69 @@ class Join:
             none = np.zeros(0, np.int64)
             return [np.setxor1d(x, np.asarray(c.values) if c.is_valid else none) for x, c in zip(raw(batch), cores, strict=True)]
 
-        told = docs.join(core, "family", "left").select("family", "doc_id", "n", "label", "set", "core")
-        different, _ = stored(told.mapInArrow(exploded(4, apart), "family long, doc_id long, n long, label long, size long, element long"), "different")
+        told = docs.join(core, "family", "left").select("family", "node", "n", "label", "set", "core")
+        different, _ = stored(told.mapInArrow(exploded(4, apart), "family long, node long, n long, label long, size long, element long"), "different")
 
         share = (100 - self.percent) / (100 + self.percent)  # of both sizes: so many elements may differ
-        sizes = different.groupBy("family", "doc_id", "n", "label").agg(F.first("size").alias("size"))
-        every = docs.select("family", "doc_id", "n", "label").join(sizes.select("doc_id", "size"), "doc_id", "left").fillna(0, ["size"])
-        nearest = every.groupBy("family").agg(F.min_by(F.struct("doc_id", "n", "label"), F.struct(F.col("size") - share * F.col("n"), F.col("doc_id"))).alias("z"))
-        to_core = every.join(nearest, "family").filter((F.col("label") != F.col("z.label")) & self.similar_sizes(F.col("n"), F.col("z.n"))).select(F.col("doc_id").alias("a"), F.col("z.doc_id").alias("b"))
+        sizes = different.groupBy("family", "node", "n", "label").agg(F.first("size").alias("size"))
+        every = docs.select("family", "node", "n", "label").join(sizes.select("node", "size"), "node", "left").fillna(0, ["size"])
+        nearest = every.groupBy("family").agg(F.min_by(F.struct("node", "n", "label"), F.struct(F.col("size") - share * F.col("n"), F.col("node"))).alias("z"))
+        to_core = every.join(nearest, "family").filter((F.col("label") != F.col("z.label")) & self.similar_sizes(F.col("n"), F.col("z.n"))).select(F.col("node").alias("a"), F.col("z.node").alias("b"))
 
         known = different.groupBy("family", "element").agg(F.count("*").alias("c"))
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "element"))
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("c", "element"))
         longest = F.floor((F.col("size") + share * F.col("n") * (1 + 100 / self.percent)) / 2 + 1 + 1e-6)
         rare = different.join(known, ["family", "element"]).withColumn("nth", nth).filter((F.col("nth") <= longest) & (F.col("c") > 1))
-        rare, _ = stored(rare.select("family", "element", "doc_id", "n", "label", "size", "nth"), "rare")
-        x, y = (rare.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "label", "size", "nth"))) for k in "xy")
+        rare, _ = stored(rare.select("family", "element", "node", "n", "label", "size", "nth"), "rare")
+        x, y = (rare.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "size", "nth"))) for k in "xy")
         allowed = share * (F.col("n_x") + F.col("n_y")) + 1e-6
         within = lambda p, q: F.col(f"nth_{p}") <= (F.col(f"size_{p}") - F.col(f"size_{q}") + allowed) / 2 + 1
-        apart_ = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y"))
+        apart_ = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
         close = x.join(y, ["family", "element"]).filter(apart_ & self.similar_sizes(F.col("n_x"), F.col("n_y")) & within("x", "y") & within("y", "x"))
-        return close.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).unionByName(to_core).distinct()
+        return close.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionByName(to_core).distinct()
 
-    def labels(self, stars: int = 2) -> DataFrame:
+    def linked_texts(self, stars: int = 2) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) of texts, and the components (node, label) of the texts that have any."""
         links = self.verified(self.star(None, 0))
         labels = components(links)
         for turn in range(1, stars):
             links = links.unionByName(self.verified(self.star(labels, turn)))
             labels = components(links)
         more = self.verified(self.rest(labels))
-        return labels if more.isEmpty() else components(links.unionByName(more))
+        if more.isEmpty():
+            return links, labels
+        links = links.unionByName(more)
+        return links, components(links)
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 90) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component_id, label) for every row: label is the smallest text key that links reach."""
+    join = Join(docs, id_col, text_col, words, percent)
+    links, labels = join.linked_texts()
+    rows, _ = stored(join.corpus.rows.select("doc_id", "k1", "k2"), "ids")
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("l"), F.max("k1").alias("h")).filter("l < h")
+    several, _ = stored(several.select("doc_id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:  # the texts of an id belong together
+        full = rows.join(several, "doc_id", "left_semi").join(join.sizes.filter("n > 0").select(F.col("node").alias("k1")), "k1")
+        full, _ = stored(full.select("doc_id", "k1").distinct(), "full")
+        centres = full.groupBy("doc_id").agg(F.min("k1").alias("b"))
+        labels = components(links.unionByName(full.join(centres, "doc_id").select(F.col("k1").alias("a"), "b").filter("a <> b")))
+    smallest = labels.join(join.sizes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    reached = labels.join(smallest, "label").select("node", "label", "component_id")
+    texts = join.sizes.join(reached, "node", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    texts, _ = stored(texts.select(F.col("node").alias("k1"), "k2", F.col("n").alias("n_shingles"), "component_id", F.coalesce("label", "node").alias("label")), "texts")
+    out = rows.join(texts, ["k1", "k2"], "left")
+    none = F.col("n_shingles") == 0
+    if not repeated:
+        return out.withColumn("component_id", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")))
+    others = full.join(texts, "k1").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    return out.join(others, "doc_id", "left").withColumn("component_id", F.when(none, F.coalesce("other", "doc_id")).otherwise(F.col("component_id"))).drop("other")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest id that links reach."""
-    join = Join(docs, id_col, text_col, words, percent)
-    labels = join.labels().select(F.col("node").alias("first"), "label")
-    sizes = join.sizes.select(F.col("doc_id").alias("first"), "k1", F.col("n").alias("n_shingles"))
-    rows = join.corpus.rows.select("doc_id", "k1", "k2").join(join.corpus.copies.drop("n"), ["k1", "k2"], "left").withColumn("first", F.coalesce("first", "doc_id"))
-    out = rows.join(sizes, ["first", "k1"], "left").join(labels, "first", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return grouped(docs, id_col, text_col, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

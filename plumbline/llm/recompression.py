@@ -12,8 +12,8 @@ those that occur once are dropped, and the others meet by name, each with the ha
 name, a window whose hash occurs earlier is verified as a repeat.
 
 Nulls and texts of fewer than `window` words lose nothing. Documents with equal texts are folded first: the first stands
-for all, later ones lose every window. Rows that repeat an id with another text are ordered by a hash of the text; rows
-repeated wholly count as one and get equal results. Extra columns are ignored.
+for all, later ones lose every window. Rows that repeat an id with another text are ordered by a hash of the text, null ids
+come last; rows repeated wholly count as one and get equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +101,8 @@ def word_anchors(window: int):
             words, by = word_hashes(*buffers(part.column(3)))
             fp, a, b = anchors(words, by, window)
             doc = np.searchsorted(by, a, "right") - 1
-            ids = part.column(0).to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids), pa.array((a - by[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["fp", "doc_id", "pos", "size"])
+            k1 = part.column(1).to_numpy()[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(k1), pa.array((a - by[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["fp", "k1", "pos", "size"])
 
     return run
 
@@ -131,7 +131,8 @@ def window_hashes(window: int):
 
 def later_windows(window: int):
     def judge(table: pa.Table):
-        fp, ids, k1, pos, size = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "doc_id", "k1", "pos", "size"))
+        fp, k1, pos, size = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "k1", "pos", "size"))
+        ids = table.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
         order = np.lexsort([pos, k1, ids, fp])
         blobs = table.column("windows").to_pylist()
         n = len(blobs)

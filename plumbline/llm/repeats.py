@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bit_words, flagged, stored, text_batches, whole_texts
+from plumbline.llm.common import U, bit_words, flagged, mix, stored, text_batches, whole_texts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,21 +61,22 @@ class Corpus:
         return once.unionByName(firsts.dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text"))
 
     def meeting(self, anchors: Callable, group_rows: int = 20_000) -> DataFrame:
-        """(doc_id, hits array<struct<fp, pos, size, salts>>): the anchors that occur more than once, by document.
+        """(k1, hits array<struct<fp, pos, size, salts>>): the anchors that occur more than once, by text.
 
-        anchors(batch) yields (fp, doc_id, pos, size) record batches of a (doc_id, k1, k2, text) batch.
+        anchors(batch) yields (fp, k1, pos, size) record batches of a (doc_id, k1, k2, text) batch. Ids don't tell texts
+        apart: they may repeat with other texts, or be null.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from anchors(batch)
 
-        found = self.distinct().mapInArrow(run, "fp long, doc_id long, pos int, size int")
+        found = self.distinct().mapInArrow(run, "fp long, k1 long, pos int, size int")
         salts = F.ceil(F.col("n") / group_rows).cast("int").alias("salts")
         often, _ = stored(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp", salts), "often")
         told = flagged(found, "fp", stored(bit_words(often, "fp"), "bits")[0]).filter("perhaps").drop("perhaps")
         # AQE splits the partitions of frequent anchors; a document's list is at most as long as its text.
-        return told.join(often, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "size", "salts")).alias("hits"))
+        return told.join(often, "fp").groupBy("k1").agg(F.collect_list(F.struct("fp", "pos", "size", "salts")).alias("hits"))
 
     def around(self, hits: DataFrame, cut: Callable, extra: str) -> DataFrame:
         """cut(bytes of a text, hits) -> columns after (fp, salt, salts, doc_id, k1, pos, size), given as DDL in extra."""
@@ -92,13 +93,14 @@ class Corpus:
                     get = lambda n, flat=flat: flat.field(n).to_numpy(zero_copy_only=False)
                     doc = np.repeat(np.arange(batch.num_rows), each)
                     pos, size, fp, salts = get("pos").astype(np.int64), get("size").astype(np.int64), get("fp"), get("salts")
-                    ids, k1 = (batch.column(c).to_numpy()[doc] for c in ("doc_id", "k1"))
+                    k1 = batch.column("k1").to_numpy()[doc]
                     keep, columns = cut(texts, doc, pos, size)
-                    salt = np.mod(ids * 31 + pos, salts.astype(np.int64))
-                    base = [fp, salt, salts, ids, k1, pos, size]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in base), *columns], names=names)
+                    salt = (mix(k1.view(U) + pos.view(U)) % salts.astype(U)).astype(np.int64)
+                    ids = batch.column("doc_id").take(pa.array(doc[keep]))
+                    fp, salt, salts, k1, pos, size = (pa.array(x[keep]) for x in (fp, salt, salts, k1, pos, size))
+                    yield pa.RecordBatch.from_arrays([fp, salt, salts, ids, k1, pos, size, *columns], names=names)
 
-        return packed(self.distinct()).drop("k2").join(hits, "doc_id").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
+        return packed(self.distinct()).drop("k2").join(hits, "k1").select("doc_id", "k1", "ztext", "hits").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 
     def spans(self, segments: DataFrame, judge: Callable, extra: str) -> DataFrame:
         """Spans (doc_id, k1, start, end) of all windows that recur.
@@ -146,9 +148,9 @@ class Corpus:
 
         def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [(i, *make(t.as_buffer().to_pybytes(), None, False, False)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+                made = [make(t.as_buffer().to_pybytes(), None, False, False) for t in batch.column(1)]
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*made, strict=True))], names=names)
 
         def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inflate = zstandard.ZstdDecompressor().decompress
@@ -159,14 +161,15 @@ class Corpus:
                     if found.is_valid:
                         flat = found.values
                         pairs = tuple(flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
-                    copied = first.is_valid and n.as_py() > 1
-                    made.append((i.as_py(), *make(inflate(z.as_buffer()), pairs, copied and first.as_py() != i.as_py(), copied)))
+                    copied = n.is_valid and n.as_py() > 1  # first is null if all copies have null ids
+                    made.append(make(inflate(z.as_buffer()), pairs, copied and first.as_py() != i.as_py(), copied))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*made, strict=True))], names=names)
 
         ddl = f"doc_id long, {outputs}"
         once = told.filter("not perhaps").select("doc_id", "text").mapInArrow(plain, ddl)
-        joined = packed(told.filter("perhaps")).join(self.copies, ["k1", "k2"], "left").join(per_text, ["doc_id", "k1"], "left")
+        per_text = per_text.withColumnsRenamed({"doc_id": "_id", "k1": "_k1"})
+        joined = packed(told.filter("perhaps")).join(self.copies, ["k1", "k2"], "left").join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")), "left")
         return once.unionByName(joined.select("doc_id", "ztext", "spans", "first", "n").mapInArrow(spanned, ddl))
 
 

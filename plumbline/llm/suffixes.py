@@ -35,7 +35,7 @@ PLACE = U(27)
 
 
 def byte_anchors(length: int, gram: int):
-    """(fp, doc_id, pos, size) of the smallest gram of every string of `length` bytes."""
+    """(fp, k1, pos, size) of the smallest gram of every string of `length` bytes."""
     reach = length - gram + 1  # grams in a string
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,8 @@ def byte_anchors(length: int, gram: int):
             at = np.unique(low[np.flatnonzero(np.cumsum(inside)[: len(low)])] & U((1 << int(PLACE)) - 1)).astype(np.int64)
             doc = np.searchsorted(offsets, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array(part.column(0).to_numpy()[doc]), pa.array((at - offsets[doc]).astype(np.int32)), pa.array(np.full(len(at), gram, np.int32))],
-                names=["fp", "doc_id", "pos", "size"],
+                [pa.array(h[at].view(np.int64)), pa.array(part.column(1).to_numpy()[doc]), pa.array((at - offsets[doc]).astype(np.int32)), pa.array(np.full(len(at), gram, np.int32))],
+                names=["fp", "k1", "pos", "size"],
             )
 
     return run

@@ -338,3 +338,49 @@ def test_flight_keeps_totals():
     p = mixing.fly(np.full(300, 0.37), size, rng.random(300))
     open_ = (p > 0) & (p < 1)
     assert open_.sum() <= 2 and p.sum() == pytest.approx(0.37 * 300) and (p * size).sum() == pytest.approx(0.37 * size.sum())
+
+
+# --- ids ------------------------------------------------------------------------------------------------------------
+
+
+def line(start, n, changed=()):
+    return " ".join(f"c{i}" if i in changed else f"u{i}" for i in range(start, start + n))
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Ids that repeat with other texts, and null ids."""
+    rows = [
+        (5, line(0, 200)), (5, line(5000, 60)), (3, line(5000, 60, {5030})), (9, line(0, 200, {3})),  # 5 joins 3 and 9
+        (7, line(9000, 80)), (7, line(9000, 80, {9070}) + " tail"), (7, None),
+        (None, line(0, 200, {190})), (None, line(12000, 90)), (None, line(12000, 90, {12004})), (None, line(12000, 90)), (None, None),
+        (11, ""), (12, line(20000, 50)), (None, line(20000, 50)),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_components_of_repeated_and_null_ids(odd_ids):
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd_ids).collect())
+    assert got == collections.Counter([
+        (5, 198, 3), (5, 58, 3), (3, 58, 3), (9, 198, 3), (7, 78, 7), (7, 79, 7), (7, 0, 7), (None, 198, 3), (None, 88, None), (None, 88, None), (None, 88, None), (None, 0, None),
+        (11, 0, 11), (12, 48, 12), (None, 48, 12),
+    ])
+
+
+def test_stage_keeps_null_ids(spark, odd_ids):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_duplicate_stage(spark, odd_ids, "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [3, 7, 7, 7, 11, 12]
+    assert sorted((r.text or "")[:6] for r in kept if r.doc_id is None) == ["", "u12000"]
+
+
+def test_repeats_of_repeated_and_null_ids(odd_ids):
+    rows = [(k, r.text or "") for k, r in enumerate(sorted(odd_ids.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)))]
+    got = collections.Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(odd_ids).collect())
+    assert got == collections.Counter(brute_bytes(rows, 200).values())
+    out = recompression.remove_repeats(odd_ids).collect()
+    assert len(out) == 15 and sum(r.n_removed for r in out if r.doc_id == 7) == 70  # one of both texts of 7 stays whole
+    assert [r.n_removed for r in out if r.doc_id in (3, 5) and r.n_words == 60].count(0) == 1
+    assert [(r.n_words, r.n_removed) for r in out if r.doc_id == 12] == [(50, 0)]
+    assert sum(r.n_removed for r in out if r.doc_id is None and r.n_words == 50) == 50
