@@ -102,19 +102,21 @@ class Corpus:
 
         return packed(self.distinct()).drop("k2").join(hits, "k1").select("doc_id", "k1", "ztext", "hits").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 
-    def spans(self, segments: DataFrame, judge: Callable, extra: str) -> DataFrame:
+    def spans(self, segments: DataFrame, judge: Callable, extra: str, split: Callable | None = None, group_rows: int = 20_000) -> DataFrame:
         """Spans (doc_id, k1, start, end) of all windows that recur.
 
         judge(rows of whole groups, as a dict of arrays) -> (rows, starts, ends of spans; rows that stand for their
         windows). Groups of many rows are first judged in parts, by salt; then those that stand for the windows of
-        their part meet.
+        their part meet. If those are more than group_rows and `split` is given, they are split by what the windows have
+        in common: split(rows with the range lo..hi of offsets) -> the rows with parts of the range and a key each.
         """
         names = ["fp", "salts", "doc_id", "k1", "pos", "size", *(c.split()[0] for c in extra.split(", "))]
         ddl = f"fp long, salts int, doc_id long, k1 long, pos long, size long, {extra}, start long, end long"
+        by = ["fp"]
 
         def level(last: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for table in whole_groups(batches, ["fp"] if last else ["fp", "salt"]):
+                for table in whole_groups(batches, by if last else ["fp", "salt"], apart=2 if last and len(by) > 1 else 0):
                     rows, starts, ends, stand = judge(table)
                     at = np.concatenate([rows, stand]) if not last else rows
                     none = len(at) - len(rows)
@@ -132,9 +134,32 @@ class Corpus:
         first = segments.select(columns).repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(level(False), ddl)
         first, _ = stored(first.filter("start is not null or salts > 1"), "judged")
         rest = first.filter("start is null").withColumn("salt", F.lit(0).cast("long")).select(columns)
-        second = rest.repartition("fp").sortWithinPartitions("fp").mapInArrow(level(True), ddl)
         out = ["doc_id", "k1", "start", "end"]
-        return stored(first.filter("start is not null").select(out).unionByName(second.select(out)), "spans")[0]
+        found = [first.filter("start is not null").select(out)]
+        if split:
+            hot, _ = stored(rest.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > group_rows).select("fp"), "hot")
+            if not hot.isEmpty():
+                by = ["lo", "hi", "fp", "key"]
+                cold = [rest.join(hot, "fp", "left_anti").withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int"), "key": F.lit(0).cast("long")})]
+                parts = rest.join(hot, "fp", "left_semi").withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int")})
+                while parts is not None:
+                    parts, _ = stored(split(parts), "parts")
+                    sizes, _ = stored(parts.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+                    met, _ = stored(parts.join(sizes, by), "met")
+                    # Rows that meet by one offset alone have the whole window in common.
+                    found.append(met.filter("lo = hi").select("doc_id", "k1", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("lo") + F.col("window")).alias("end")))
+                    cold.append(met.filter((F.col("lo") < F.col("hi")) & (F.col("m") <= group_rows)).select(*columns, "lo", "hi", "key"))
+                    larger = met.filter((F.col("lo") < F.col("hi")) & (F.col("m") > group_rows))
+                    parts = None if larger.isEmpty() else larger.select(*columns, "lo", "hi")
+                rest = cold[0].select(*columns, "lo", "hi", "key")
+                for part in cold[1:]:
+                    rest = rest.unionByName(part)
+        second = rest.repartition(*by).sortWithinPartitions(*by).mapInArrow(level(True), ddl)
+        found.append(second.select(out))
+        every = found[0]
+        for part in found[1:]:
+            every = every.unionByName(part)
+        return stored(every, "spans")[0]
 
     def finish(self, spans: DataFrame, make: Callable, outputs: str) -> DataFrame:
         """make(text bytes, spans or None, has an earlier copy, has any copy) -> the output columns, for every row.
@@ -173,10 +198,24 @@ class Corpus:
         return once.unionByName(joined.select("doc_id", "ztext", "spans", "first", "n").mapInArrow(spanned, ddl))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about `rows` rows of a sorted stream, cut only between groups."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 20_000, apart: int = 0) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of a sorted stream, cut only between groups, and wherever one of the first `apart`
+    columns of `by` changes."""
     held: list[pa.RecordBatch] = []
     count = 0
+
+    def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        for c in columns:
+            k = table.column(c).combine_chunks().fill_null(-1).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(new)
+
+    def pieces(table: pa.Table) -> Iterator[pa.Table]:
+        bounds = [0, *changes(table, by[:apart]).tolist(), len(table)]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            yield table.slice(start, end - start)
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -185,14 +224,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 2
         if count < rows:
             continue
         table = pa.Table.from_batches(held)
-        keys = [np.asarray(table.column(c).combine_chunks()) for c in by]
-        new = np.zeros(len(table), bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        cut = np.flatnonzero(new)
+        cut = changes(table, by)
         if len(cut):
-            yield table.slice(0, int(cut[-1]))
+            yield from pieces(table.slice(0, int(cut[-1])))
             table = table.slice(int(cut[-1]))
         held, count = table.combine_chunks().to_batches(), len(table)
     if held:
-        yield pa.Table.from_batches(held)
+        yield from pieces(pa.Table.from_batches(held))

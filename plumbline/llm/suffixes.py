@@ -7,8 +7,11 @@ bytes before it. A shard first orders its suffixes by their bytes, with the comm
 induction: the order of the suffixes that start one byte earlier follows from pushing (preceding byte, suffix, common
 prefix) in the present order into a priority queue by byte and popping it; the common prefix grows by one or falls to
 the minimum in between. After o steps, neighbours with `length` bytes in common are equal strings that start o bytes
-before their anchors. Suffixes that can't reach `length` any more leave the queue. The queue spills its runs to disk, and
-so do the bytes of large shards, so a shard may be far larger than memory.
+before their anchors. Suffixes that can't reach `length` any more leave the queue.
+
+A shard is held in memory, so shards are kept small: the suffixes at a frequent anchor are first sorted in parts, and what
+is left of them is split, where it is still too much, by the bytes that all strings of a range of offsets share; halving
+the range ends with single offsets, at which equal bytes are equal strings and nothing is left to sort.
 
 Nulls and texts of fewer than `length` bytes lose nothing. Documents with equal texts are folded: each loses everything.
 Rows that repeat an id with another text are documents of their own; a row repeated wholly counts as a copy. Extra
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm.common import BASES, U, buffers, gram_hashes, slices, table_of, union
 from plumbline.llm.repeats import Corpus
@@ -231,6 +235,24 @@ def equal_strings(length: int, gram: int):
     return judge
 
 
+def halved(length: int, gram: int):
+    """Rows by halves of their range of offsets, with a hash of the bytes that all strings of the half share.
+
+    Strings start lo to hi bytes before the anchor, so they share lo bytes before it and length - hi from it on. Rows
+    that hold no such bytes hold no such string.
+    """
+
+    def split(rows: DataFrame) -> DataFrame:
+        lo, hi = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(length - gram))
+        mid = F.floor((lo + hi) / 2).cast("int")
+        halves = F.array(F.struct(lo.alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+        parts = rows.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi"), "window": F.lit(length).cast("long")}).drop("half")
+        parts = parts.filter(f"n_before >= lo and length(around) - n_before >= {length} - hi")
+        return parts.withColumn("key", F.expr(f"xxhash64(substring(around, cast(n_before - lo + 1 as int), {length} - hi + lo))"))
+
+    return split
+
+
 def kept_bytes(length: int):
     def make(text: bytes, spans, earlier: bool, copied: bool) -> tuple[int, int, int, str]:
         n = len(text)
@@ -254,7 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     corpus = Corpus(docs, id_col, text_col)
     extra = "around binary, n_before long"
     segments = corpus.around(corpus.meeting(byte_anchors(length, gram)), surroundings(length, gram), extra)
-    return corpus.finish(corpus.spans(segments, equal_strings(length, gram), extra), kept_bytes(length), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return corpus.finish(corpus.spans(segments, equal_strings(length, gram), extra, halved(length, gram)), kept_bytes(length), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_induced_sorting(spark, sf_dir: str) -> DataFrame:

@@ -289,6 +289,28 @@ def test_groups_judged_in_parts(spark):
         assert {r[0]: tuple(r[1:]) for r in corpus.finish(spans, finish, names).collect()} == brute
 
 
+def test_frequent_line_with_different_surroundings(spark):
+    """No group of suffixes is larger than allowed, though all rows of the line's anchors survive the first level."""
+    line = "".join(f"licence line {i} " for i in range(12))[:190]
+    rows = [(i, sha(bytes([i])) * 3 + line[: 190 - 40 * (i % 2)] + sha(bytes([i // 3, 1])) * 3) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = suffixes.equal_strings(200, 73)
+
+    def bounded(table):
+        by = [c for c in ("fp", "salt", "lo", "hi", "key") if c in table.column_names]
+        assert max(collections.Counter(zip(*(table.column(c).to_pylist() for c in by), strict=True)).values()) <= 25
+        return judge(table)
+
+    corpus = suffixes.Corpus(df, "doc_id", "text")
+    extra = "around binary, n_before long"
+    segments = corpus.around(corpus.meeting(suffixes.byte_anchors(200, 73), group_rows=8), suffixes.surroundings(200, 73), extra)
+    spans = corpus.spans(segments, bounded, extra, suffixes.halved(200, 73), group_rows=8)
+    out = corpus.finish(spans, suffixes.kept_bytes(200), "n long, removed long, spans long, kept string")
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_bytes(rows, 200)
+    with pytest.raises(Exception, match="AssertionError"):
+        corpus.spans(segments, bounded, extra)  # without a split, all of them meet
+
+
 def test_queue_spills():
     rng = np.random.default_rng(6)
     byte, row, common = rng.integers(0, 9, 1000).astype(np.uint8), np.arange(1000), rng.integers(1, 5, 1000)
