@@ -59,6 +59,13 @@ def ambiguous_key_join(spark, d):
     return selection.with_ambiguity(asked, table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"), ["l_partkey", "l_suppkey"])
 
 
+@register("SELECT l_partkey, l_suppkey, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN any_value(l_quantity) END AS l_quantity FROM lineitem GROUP BY ALL")
+def ambiguous_key_join_all(spark, d):
+    """ambiguous_key_join asked with every key of lineitem instead of a set of possible ones."""
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    return selection.with_ambiguity(rows.select("l_partkey", "l_suppkey").distinct(), rows, ["l_partkey", "l_suppkey"])
+
+
 @register("SELECT l_partkey, l_suppkey, count(*) - 1 AS excess FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, d):
     return selection.duplicates(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
