@@ -17,15 +17,21 @@ def longest(blocks: Column) -> Column:
 
 
 def dedent(text: Column) -> Column:
-    """Without the indentation that all lines with content share."""
-    lines = F.split(text, "\n")
-    indents = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.char_length(x) - F.char_length(F.ltrim(x)))
-    return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(F.substring(x, F.coalesce(F.array_min(indents), F.lit(0)) + 1, F.char_length(x)))), "\n")
+    """Without the leading blanks and tabs that all lines with content share; lines of blanks and tabs alone get empty."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\A[ \t]+\z", ""))
+    indents = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.regexp_extract(x, r"\A[ \t]*", 0))
+    low, high = F.array_min(indents), F.array_max(indents)  # what both begin with, all begin with
+    shared = F.array_max(F.filter(F.sequence(F.lit(0), F.char_length(low)), lambda k: F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k)))
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, F.coalesce(shared, F.lit(0)) + 1, F.char_length(x))), "\n")
+
+
+#: What Python's str.strip() takes off.
+STRIPPED = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def code_of(text: Column) -> Column:
     """The longest fenced block without its common indentation, else the text."""
-    return F.regexp_replace(dedent(F.coalesce(longest(fenced_blocks(text)), text)), r"^\s+|\s+$", "")
+    return F.regexp_replace(dedent(F.coalesce(longest(fenced_blocks(text)), text)), STRIPPED, "")
 
 
 def clean_error(text: Column, most: int = 300) -> Column:

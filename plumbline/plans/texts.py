@@ -24,6 +24,12 @@ def fenced_extract(spark, d):
     return rows.select("doc_id", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
 
 
+@register()
+def fenced_extract_all(spark, d):
+    """fenced_extract over every document, also with fences and indentation, which its SQL leaves out."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
+
+
 @register("SELECT doc_id, left(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g'), 300) AS cleaned, left(regexp_replace(text, '^[A-Za-z0-9_]*(Error|Exception): ?', ''), 80) AS core FROM documents WHERE NOT regexp_matches(text, '[^\\x20-\\x7E\\n\\t\\r]')")
 def normalise_error(spark, d):
     rows = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x20-\x7E\n\t\r]"))

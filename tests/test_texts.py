@@ -1,3 +1,7 @@
+import hashlib
+import re
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +61,26 @@ def test_stream_assembles_groups(spark, tmp_path):
     got = {r.group_id: (r.failed, r.kept, len(r.rewards)) for r in done.collect()}
     assert got == {1: (0, True, 4), 2: (0, False, 4), 3: (4, False, 0)}
     assert groups.batches(done, 4).count() == 1
+
+
+WHOLE = [
+    "a ```python\n  x = 1\n\ty\n``` b", "```\n\tif a:\n\t\tb\n \t \n\tc\n```", "\t one\n\t  two\n\n\t three", "  a\n b", "\u3000 é\u00a0x\u2028", "Żaden_Error: zły\u200bznak\x07 😀\x1f",
+    "TypeError: no", "```\nshort\n``` ```python \r\n    longer block\n      here\n```", "", "   \n\t\n", "\u00a0\ttab",
+]
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame(list(enumerate(WHOLE)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_fenced_extract_of_every_document(spark, whole):
+    from plumbline.plans import texts
+
+    def code(t):
+        return textwrap.dedent(max(re.findall(r"```(?:python)?[ \t]*\r?\n(.*?)```", t, re.S) or [t], key=len)).strip()
+
+    got = {r.doc_id: r.code for r in texts.fenced_extract_all(spark, whole).collect()}
+    assert got == {i: hashlib.sha256(code(t).encode()).hexdigest() for i, t in enumerate(WHOLE)}
