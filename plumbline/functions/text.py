@@ -35,13 +35,13 @@ def code_of(text: Column) -> Column:
 
 
 def clean_error(text: Column, most: int = 300) -> Column:
-    """Characters that can't be printed become blanks; at most `most` characters."""
-    return F.substring(F.regexp_replace(text, r"[\p{C}\p{Zl}\p{Zp} ]", " "), 1, most)
+    """Characters that can't be printed, and separators, become blanks; at most `most` characters."""
+    return F.substring(F.regexp_replace(text, r"[\p{C}\p{Z}]", " "), 1, most)
 
 
 def error_core(text: Column) -> Column:
     """Without an 'Error:' prefix, at most 80 characters."""
-    return F.substring(F.regexp_replace(text, r"^\w*(?:Error|Exception): ?", ""), 1, 80)
+    return F.substring(F.regexp_replace(text, r"(?U)^\w*(?:Error|Exception): ?", ""), 1, 80)
 
 
 def number_after(text: Column, label: str) -> Column:

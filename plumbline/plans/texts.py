@@ -36,6 +36,12 @@ def normalise_error(spark, d):
     return rows.select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
 
 
+@register()
+def normalise_error_all(spark, d):
+    """normalise_error over every document, whatever its characters, most of which its SQL leaves out."""
+    return table(spark, d, "documents").select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
+
+
 @register("SELECT event_id, CAST(nullif(regexp_extract(props, '\"k\"[^0-9\\-]{0,3}(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM events")
 def number_extract(spark, d):
     return table(spark, d, "events").select("event_id", text.number_after(F.col("props"), '"k"').alias("number"))
