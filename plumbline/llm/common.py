@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -39,10 +39,42 @@ def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     jvm = spark._jvm
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Shelf:
+    """The stored tables of one computation. Those that nothing reads any more are dropped when their readers are stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = stored(df, name)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        gone = [path for t, path in self.tables if any(t is x for x in tables)]
+        self.tables = [(t, path) for t, path in self.tables if path not in gone]
+        forget(self.spark, *gone)
+
+    def keep(self, *tables: DataFrame | None) -> None:
+        """Drops all others."""
+        self.drop(*(t for t, _ in self.tables if not any(t is x for x in tables)))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them as long as a column has such a name (Spark doesn't tell case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) with null texts as empty ones; other columns stay behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -155,30 +187,61 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[at], ends[np.append(at[1:], len(starts)) - 1]
 
 
-#: Bits of a bitmap: whatever the input, it has at most BITS / 64 words of 8 bytes (2 MB), so it may be broadcast.
-BITS = 1 << 24
+#: Bits of a bitmap at most (8 MB), so it may be broadcast whatever the input; fewer if there are few values.
+BITS = 1 << 26
 
 
-def bit_words(values: DataFrame, column: str, bits: int = BITS) -> DataFrame:
-    """A bitmap as rows (word, mask), at most bits / 64: bit `column mod bits` of each value is set.
+def bits_for(values: int, most: int | None = None) -> int:
+    """Bits of a bitmap for so many values: 16 a value (a power of two), until `most` is reached."""
+    most = most or BITS
+    return min(most, max(64, 1 << (16 * max(values, 1) - 1).bit_length()))
 
-    A set bit means "perhaps among the values", a clear one "certainly not".
+
+def bit_words(values: DataFrame, column: str, bits: int | None = None) -> DataFrame:
+    """A bitmap as rows (word, mask, bits), at most bits / 64: bit `column mod bits` of each value is set.
+
+    A set bit means "perhaps among the values", a clear one "certainly not". Counts the values first.
     """
+    bits = bits or bits_for(values.count())
     at = F.pmod(F.col(column), F.lit(bits))
     words = values.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word"))
-    return words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    return words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"), F.lit(bits).cast("long").alias("bits"))
+
+
+def flagged(rows: DataFrame, column: str, words: DataFrame, name: str = "perhaps") -> DataFrame:
+    """rows with `name`: whether the bit of the column is set in a stored bitmap of bit_words, by a join with its rows."""
+    first = words.select("bits").first()
+    if first is None:
+        return rows.withColumn(name, F.lit(False))
+    word, mask, at = fresh(rows.columns, "_word", "_mask", "_at")
+    words = words.select(F.col("word").alias(word), F.col("mask").alias(mask))
+    rows = rows.withColumn(at, F.pmod(F.col(column), F.lit(first.bits)))
+    told = rows.join(F.broadcast(words), F.expr(f"{at} div 64 = {word}"), "left")
+    return told.withColumn(name, F.expr(f"coalesce(shiftrightunsigned({mask}, cast({at} % 64 as int)) & 1 = 1, false)")).drop(at, word, mask)
 
 
-def flagged(rows: DataFrame, column: str, words: DataFrame, name: str = "perhaps", bits: int = BITS) -> DataFrame:
-    """rows with `name`: whether the bit of the column is set in a bitmap of bit_words, by a join with its rows."""
-    words = words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
-    rows = rows.withColumn("_at", F.pmod(F.col(column), F.lit(bits)))
-    told = rows.join(F.broadcast(words), F.expr("_at div 64 = _word"), "left")
-    return told.withColumn(name, F.expr("coalesce(shiftrightunsigned(_mask, cast(_at % 64 as int)) & 1 = 1, false)")).drop("_at", "_word", "_mask")
+#: One document in SAMPLE tells which keys are hot; at most HOT_KEYS of them are broadcast.
+SAMPLE, HOT_KEYS = 64, 10_000
+
+
+def repeated(rows: DataFrame, sample: DataFrame, key: str, deal: list[str], group_rows: int = 20_000, share: int = SAMPLE) -> DataFrame:
+    """The rows whose key another row has too, with `n`: how many rows have it. Rows are shuffled once, by their key.
+
+    sample: the rows of one document in `share`. Keys that it shows to have more than group_rows rows are dealt by the
+    columns `deal` too, so that no task gets all of their rows; their n is an estimate. Other keys go to one task each,
+    so the list of hot keys may end anywhere.
+    """
+    hot = sample.groupBy(key).agg((F.count("*") * share).alias("_n")).filter(f"_n > {group_rows} and _n > {share}")
+    hot = hot.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(F.col(key).alias("_key"), "_n")
+    told = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    told = told.withColumn("_salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(*deal), F.ceil(F.col("_n") / group_rows))))
+    counted = told.withColumn("n", F.coalesce("_n", F.count("*").over(Window.partitionBy(key, "_salt"))))
+    return counted.filter("n > 1").drop("_key", "_n", "_salt")
 
 
-def bitmap(values: DataFrame, column: str, bits: int = BITS) -> bytes:
-    """The same bitmap in one piece, for tests inside Python tasks."""
+def bitmap(values: DataFrame, column: str, bits: int | None = None) -> bytes:
+    """The same bitmap in one piece, for tests inside Python tasks. values: a stored table, since it is read twice."""
+    bits = bits or bits_for(values.count())
     words = bit_words(values, column, bits).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy()

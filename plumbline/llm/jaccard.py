@@ -1,12 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 A document is the set of its distinct word shingles. Sizes fall into bands; in a band, sets that reach the similarity
-differ in at most k elements, so if the shingle domain is cut into more than k parts, they agree on whole parts. The
-domain has n1 parts of n2 = 2 sub-parts, of which every subset of n2 - k2 = 1 gives a signature: the band, the sub-part's
-number and a hash of the shingles in it. With k + 1 + 2 t sub-parts at least 2 t + 1 agree, so each document leaves out
-its t signatures that most documents have (those that say least, such as of passages that many share): both partners
-leave out at most t of what they agree on, and a common signature remains. Sets near the upper end of a band also sign
-for the next.
+differ in at most k elements. The shingle domain is cut into n1 parts, each into N2 = 3 sub-parts, and every subset of
+N2 - K2 = 2 sub-parts of a part gives a signature: the band, the part, the subset and a hash of the shingles in it. With
+n1 = k div (K2 + 1) + 1 + k div SPARE, some part differs in at most K2 = 1 elements, which lie in one sub-part, so the
+subset without it agrees. Sets near the upper end of a band also sign for the next.
+
+More than one part must agree: a part without a common signature holds at least two differences, one in which not all
+signatures are common at least one, and both bounds hold for a document and any partner as well as for a document and all
+others together. So a document whose parts, by the signatures that recur at all, would need more differences than its size
+allows has no partner, and its signatures are dropped (`Join.possible`). That leaves a tenth of the documents or less.
 
 Documents that share a signature are verified exactly, on whole sets, but not all pairs of a bucket: first each document
 against one member of its buckets (stars), twice, then all pairs of documents that are still in different components and
@@ -22,18 +25,23 @@ that links reach has an id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U, bit_words, buffers, flagged, mix, slices, stored, word_hashes
+from plumbline.llm.common import Shelf, U, bit_words, buffers, flagged, mix, repeated, slices, word_hashes
 from plumbline.llm.repeats import Corpus
 
 WORDS = 3
-#: Upper ends of the size bands, by a factor of 1.5 from 9 on.
-BANDS = np.array([int(9 * 1.5**j) for j in range(60)])
+#: Upper ends of the size bands, by a factor of about 1.5.
+BANDS = np.array(sorted({int(1.5**j) for j in range(66)}))
+#: Sub-parts of a part, differences that a part may hold, and how many differences bring one part more than needed.
+N2, K2, SPARE = 3, 1, 20
+SUBSETS = [list(c) for c in combinations(range(N2), N2 - K2)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -57,33 +65,39 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def layout(size: int, percent: int, k2: int = 1) -> tuple[int, int, int]:
-    """(n1, sub-parts, t) of a band by its upper end, for pairs with 100 * intersection >= percent * union."""
-    # (1 - p) * (|x| + |y|) >= (1 + p) * difference
-    k = int((100 - percent) * 2 * size // (100 + percent))
-    if not k:
-        return 1, 1, 0
-    spare = (k + 9) // 10
-    n1 = -(-(k + 1 + 2 * spare) // (k2 + 1))
-    return n1, n1 * (k2 + 1), spare
+def differences(sizes, percent: int):
+    """The most elements in which two sets with this sum of sizes differ if 100 * intersection >= percent * union."""
+    return (100 - percent) * sizes // (100 + percent)
+
+
+def parts_of(band: int, percent: int) -> int:
+    """Parts of the domain in a band; 0 if its sets link only if they are equal."""
+    k = differences(2 * int(BANDS[band]), percent)
+    return k // (K2 + 1) + 1 + k // SPARE if k else 0
 
 
-def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, their bands) of one sorted set."""
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, their bands, their parts) of one sorted set."""
     size = len(s)
     if not size:
-        return np.zeros(0, U), np.zeros(0, np.int8)
+        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, np.int32)
     own = int(np.searchsorted(BANDS, size))
     bands = [own] + ([own + 1] if 100 * size >= percent * (BANDS[own] + 1) else [])
     value = np.zeros(size + 1, U)
     np.cumsum(mix(s), out=value[1:])
-    out = []
+    out, parts = [], []
     for band in bands:
-        parts = layout(BANDS[band], percent)[1]
-        bounds = np.searchsorted(((s >> U(32)) * U(parts)) >> U(32), np.arange(parts + 1, dtype=U))
-        total = value[bounds[1:]] - value[bounds[:-1]]
-        out.append(mix(total + mix(np.arange(parts, dtype=U) * U(64) + U(band))))
-    return np.concatenate(out), np.repeat(np.array(bands, np.int8), [len(x) for x in out])
+        n1 = parts_of(band, percent)
+        if not n1:
+            out.append(mix(value[-1:] + U(band)))
+            parts.append(np.zeros(1, np.int32))
+            continue
+        bounds = np.searchsorted(((s >> U(32)) * U(n1 * N2)) >> U(32), np.arange(n1 * N2 + 1, dtype=U))
+        within = (value[bounds[1:]] - value[bounds[:-1]]).reshape(n1, N2)
+        total = np.stack([within[:, c].sum(axis=1, dtype=U) for c in SUBSETS], axis=1).ravel()
+        out.append(mix(total + mix(np.arange(len(total), dtype=U) * U(64) + U(band))))
+        parts.append(np.repeat(np.arange(n1, dtype=np.int32), len(SUBSETS)))
+    return np.concatenate(out), np.repeat(np.array(bands, np.int8), [len(x) for x in out]), np.concatenate(parts)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -98,24 +112,27 @@ def components(edges: DataFrame) -> DataFrame:
     so the rounds are logarithmic in the longest chain. Every round is written to the shared folder.
     """
     labels = None
-    left, _ = stored(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    shelf = Shelf(edges.sparkSession)
+    left = shelf.put(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point, _ = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "point")
+        point = shelf.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "point")
         while True:
             further = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            moved, _ = stored(point.join(further, "label").select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "jump")
+            moved = shelf.put(point.join(further, "label").select("node", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "jump")
+            shelf.keep(left, labels, moved)
             point = moved.select("node", "label")
             if moved.filter("moved").isEmpty():
                 break
         if labels is None:
-            labels = point
+            labels = moved
         else:
             now = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels, _ = stored(labels.join(now, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            labels = shelf.put(labels.join(now, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
         p, q = point.select(F.col("node").alias("a"), F.col("label").alias("x")), point.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        left, _ = stored(left.join(p, "a").join(q, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges")
-    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        left = shelf.put(left.join(p, "a").join(q, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges")
+        shelf.keep(left, labels)
+    return labels.select("node", "label") if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 class Join:
@@ -132,24 +149,10 @@ class Join:
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, 3):
-                    sets = shingle_sets(*buffers(part.column(3)), words)
-                    made = [signatures(s, percent) for s in sets]
-                    each = [len(m[0]) for m in made]
-                    ids, sizes = np.repeat(part.column(1).to_numpy(), each), np.repeat([len(s) for s in sets], each)
-                    signs, bands = (np.concatenate([m[i] for m in made]) for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(signs.view(np.int64)), pa.array(bands)], names=["node", "n", "sign", "band"])
-
-        # Signatures are made twice rather than kept: they would take more room than the texts.
-        self.sizes, _ = stored(self.corpus.distinct().mapInArrow(count, "node long, k2 long, doc_id long, n long"), "sizes")
-        rows = self.corpus.distinct().mapInArrow(sign, "node long, n long, sign long, band byte")
-        often, _ = stored(rows.groupBy("sign").agg(F.count("*").alias("m")).filter("m > 1"), "often")
-        told = flagged(rows, "sign", stored(bit_words(often, "sign"), "bits")[0])
-        spare = F.element_at(F.array(*(F.lit(layout(b, percent)[2]) for b in BANDS)), F.col("band").cast("int") + 1)
-        nth = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("m"), "sign"))
-        met = told.filter("perhaps").drop("perhaps").join(often, "sign").withColumn("nth", nth).filter(F.col("nth") > spare)
-        #: Rows of signatures that several documents have, without each document's most common ones.
-        self.rows, _ = stored(met.select("sign", "node", "n"), "rows")
-        members = flagged(self.corpus.distinct(), "k1", stored(bit_words(self.rows.select("node").distinct(), "node"), "bits")[0])
+                    made = [signatures(s, percent) for s in shingle_sets(*buffers(part.column(3)), words)]
+                    nodes = np.repeat(part.column(1).to_numpy(), [len(m[0]) for m in made])
+                    signs, bands, parts = (np.concatenate([m[i] for m in made]) for i in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(signs.view(np.int64)), pa.array(bands), pa.array(parts)], names=["node", "sign", "band", "part"])
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -157,7 +160,35 @@ class Join:
                     sets = shingle_sets(*buffers(part.column(1)), words)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-        self.sets, _ = stored(members.filter("perhaps").select("k1", "text").mapInArrow(collect, "node long, set binary"), "sets")
+        self.shelf = shelf = self.corpus.shelf
+        self.sizes = shelf.put(self.corpus.distinct().mapInArrow(count, "node long, k2 long, doc_id long, n long"), "sizes")
+        signed, sample = (self.corpus.distinct(part).mapInArrow(sign, "node long, sign long, band byte, part int") for part in (False, True))
+        again = repeated(signed, sample, "sign", ["node"]).select("node", "sign", "band", "part")
+        again = shelf.put(again.join(self.sizes.select("node", "n"), "node"), "again")
+        #: Rows (sign, node, n, band, part) of signatures that several documents have, of documents that may have a partner.
+        self.rows = shelf.put(self.possible(again), "rows")
+        shelf.drop(again)
+        members = shelf.put(self.rows.select("node").distinct(), "members")
+        wanted = flagged(self.corpus.distinct(), "k1", shelf.put(bit_words(members, "node"), "bits")).filter("perhaps")
+        self.sets = shelf.put(wanted.select("k1", "text").mapInArrow(collect, "node long, set binary"), "sets")
+        shelf.keep(self.corpus.copies, self.corpus.words, self.sizes, self.rows, self.sets)
+
+    def possible(self, rows: DataFrame) -> DataFrame:
+        """The rows of documents that can have a partner by these rows, which hold all signatures that others have too.
+
+        A part without any counts as two differences, one without all as one; in all there may be as many as the
+        document and the largest partner in the band allow.
+        """
+        percent = self.percent
+        of_band = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("band").cast("int") + 1)
+        n1 = of_band([parts_of(b, percent) for b in range(len(BANDS))])
+        most = F.least(of_band([int(b) for b in BANDS]), F.floor(F.col("n") * 100 / percent))
+        needed = F.when(n1 == 0, 1).otherwise(2 * n1 - F.floor((100 - percent) * (F.col("n") + most) / (100 + percent)))
+        dealt = rows.repartition("node", "band")
+        parts = dealt.groupBy("node", "band", "part").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        score = F.sum(F.when(F.col("c") == len(SUBSETS), 2).otherwise(1))
+        stay = parts.groupBy("node", "band").agg(score.alias("score"), F.first("n").alias("n")).filter(F.col("score") >= needed).select("node", "band")
+        return dealt.join(stay, ["node", "band"], "left_semi").select("sign", "node", "n", "band", "part")
 
     def similar_sizes(self, n, m) -> F.Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -171,23 +202,26 @@ class Join:
                 ok = [linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        pairs, _ = stored(pairs, "pairs")
+        pairs = self.shelf.put(pairs, "pairs")
         x, y = (self.wanted(pairs.select(c)).select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")[0]
+        links = self.shelf.put(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        self.shelf.drop(pairs)
+        return links
 
     def wanted(self, ids: DataFrame) -> DataFrame:
         """The sets of these documents and perhaps of a few others: sets are large, so the rest stays out of shuffles."""
-        words, _ = stored(bit_words(ids.distinct(), ids.columns[0]), "bits")
+        words = self.shelf.put(bit_words(ids.distinct(), ids.columns[0]), "bits")
         return flagged(self.sets, "node", words).filter("perhaps").select("node", "set")
 
     def with_labels(self, labels: DataFrame | None) -> DataFrame:
-        """Rows of buckets that hold several components, with the component."""
+        """Rows of buckets that hold several components, with the component, of documents that may have a partner in another."""
         if labels is None:
             return self.rows.withColumn("label", F.col("node"))
         rows = self.rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows, _ = stored(rows, "labelled")
+        rows = self.shelf.put(rows, "labelled")
         open_ = rows.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("sign")
-        return rows.join(open_, "sign", "left_semi")
+        open_ = self.possible(rows.join(open_, "sign", "left_semi"))
+        return open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def star(self, labels: DataFrame | None, turn: int) -> DataFrame:
         """One pair for each document: with the bucket centre of another component that it shares most signatures with."""
@@ -206,11 +240,11 @@ class Join:
         without a common element of D also link with the member that has the smallest D for its size; others have a
         common element among the rarest of their Ds. So a family of near copies gives few pairs beyond its true links.
         """
-        rows, _ = stored(self.with_labels(labels), "open")
+        rows = self.shelf.put(self.with_labels(labels), "open")
         centres = rows.groupBy("sign").agg(F.min("node").alias("b"))
         families = components(rows.join(centres, "sign").select(F.col("node").alias("a"), "b").filter("a <> b").distinct())
         docs = rows.select("node", "n", "label").distinct().join(families.select("node", F.col("label").alias("family")), "node")
-        docs, _ = stored(docs.join(self.wanted(docs.select("node")), "node").select("family", "node", "n", "label", "set"), "families")
+        docs = self.shelf.put(docs.join(self.wanted(docs.select("node")), "node").select("family", "node", "n", "label", "set"), "families")
 
         def exploded(keep: int, change):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +270,7 @@ class Join:
             return [np.setxor1d(x, np.asarray(c.values) if c.is_valid else none) for x, c in zip(raw(batch), cores, strict=True)]
 
         told = docs.join(core, "family", "left").select("family", "node", "n", "label", "set", "core")
-        different, _ = stored(told.mapInArrow(exploded(4, apart), "family long, node long, n long, label long, size long, element long"), "different")
+        different = self.shelf.put(told.mapInArrow(exploded(4, apart), "family long, node long, n long, label long, size long, element long"), "different")
 
         share = (100 - self.percent) / (100 + self.percent)  # of both sizes: so many elements may differ
         sizes = different.groupBy("family", "node", "n", "label").agg(F.first("size").alias("size"))
@@ -248,7 +282,7 @@ class Join:
         nth = F.row_number().over(Window.partitionBy("node").orderBy("c", "element"))
         longest = F.floor((F.col("size") + share * F.col("n") * (1 + 100 / self.percent)) / 2 + 1 + 1e-6)
         rare = different.join(known, ["family", "element"]).withColumn("nth", nth).filter((F.col("nth") <= longest) & (F.col("c") > 1))
-        rare, _ = stored(rare.select("family", "element", "node", "n", "label", "size", "nth"), "rare")
+        rare = self.shelf.put(rare.select("family", "element", "node", "n", "label", "size", "nth"), "rare")
         x, y = (rare.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "size", "nth"))) for k in "xy")
         allowed = share * (F.col("n_x") + F.col("n_y")) + 1e-6
         within = lambda p, q: F.col(f"nth_{p}") <= (F.col(f"size_{p}") - F.col(f"size_{q}") + allowed) / 2 + 1
@@ -258,38 +292,39 @@ class Join:
 
     def linked_texts(self, stars: int = 2) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) of texts, and the components (node, label) of the texts that have any."""
-        links = self.verified(self.star(None, 0))
-        labels = components(links)
-        for turn in range(1, stars):
-            links = links.unionByName(self.verified(self.star(labels, turn)))
-            labels = components(links)
-        more = self.verified(self.rest(labels))
-        if more.isEmpty():
-            return links, labels
-        links = links.unionByName(more)
-        return links, components(links)
+        self.links: list[DataFrame] = []
+        labels = None
+        for turn in range(stars + 1):
+            found = self.verified(self.star(labels, turn) if turn < stars else self.rest(labels))
+            self.links.append(found)
+            self.shelf.keep(self.corpus.copies, self.corpus.words, self.sizes, self.rows, self.sets, *self.links)
+            if turn < stars or not found.isEmpty():
+                labels = components(reduce(DataFrame.unionByName, self.links))
+        return reduce(DataFrame.unionByName, self.links), labels
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 90) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component_id, label) for every row: label is the smallest text key that links reach."""
     join = Join(docs, id_col, text_col, words, percent)
     links, labels = join.linked_texts()
-    rows, _ = stored(join.corpus.rows.select("doc_id", "k1", "k2"), "ids")
+    labels = join.shelf.put(labels, "labels")
+    join.shelf.keep(join.sizes, labels, *join.links)
+    rows = join.shelf.put(join.corpus.rows.select("doc_id", "k1", "k2"), "ids")
     several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("l"), F.max("k1").alias("h")).filter("l < h")
-    several, _ = stored(several.select("doc_id"), "several")
-    repeated = not several.isEmpty()
-    if repeated:  # the texts of an id belong together
+    several = join.shelf.put(several.select("doc_id"), "several")
+    apart = not several.isEmpty()
+    if apart:  # the texts of an id belong together
         full = rows.join(several, "doc_id", "left_semi").join(join.sizes.filter("n > 0").select(F.col("node").alias("k1")), "k1")
-        full, _ = stored(full.select("doc_id", "k1").distinct(), "full")
+        full = join.shelf.put(full.select("doc_id", "k1").distinct(), "full")
         centres = full.groupBy("doc_id").agg(F.min("k1").alias("b"))
         labels = components(links.unionByName(full.join(centres, "doc_id").select(F.col("k1").alias("a"), "b").filter("a <> b")))
     smallest = labels.join(join.sizes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     reached = labels.join(smallest, "label").select("node", "label", "component_id")
     texts = join.sizes.join(reached, "node", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    texts, _ = stored(texts.select(F.col("node").alias("k1"), "k2", F.col("n").alias("n_shingles"), "component_id", F.coalesce("label", "node").alias("label")), "texts")
+    texts = join.shelf.put(texts.select(F.col("node").alias("k1"), "k2", F.col("n").alias("n_shingles"), "component_id", F.coalesce("label", "node").alias("label")), "texts")
     out = rows.join(texts, ["k1", "k2"], "left")
     none = F.col("n_shingles") == 0
-    if not repeated:
+    if not apart:
         return out.withColumn("component_id", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")))
     others = full.join(texts, "k1").groupBy("doc_id").agg(F.min("component_id").alias("other"))
     return out.join(others, "doc_id", "left").withColumn("component_id", F.when(none, F.coalesce("other", "doc_id")).otherwise(F.col("component_id"))).drop("other")

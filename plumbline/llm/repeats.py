@@ -1,8 +1,8 @@
 """What the two substring operators share: folding equal texts, finding dealt anchors, and joining spans to their texts.
 
 Both mark, in every text, some content-determined anchors such that equal windows hold equal anchors at equal places.
-Anchors that occur once are dropped by an aggregation and a join over (fingerprint, id, position); the rest bring along
-what lies around them, meet by fingerprint, and tell which windows recur.
+Anchors are shuffled by fingerprint once and those that occur once are dropped; the rest bring along what lies around
+them, meet by fingerprint, and tell which windows recur.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import U, bit_words, flagged, mix, stored, text_batches, whole_texts
+from plumbline.llm.common import SAMPLE, Shelf, U, bit_words, flagged, mix, repeated, text_batches, whole_texts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,12 +50,14 @@ class Corpus:
         text_batches(docs.sparkSession)
         self.rows = keyed(docs, id_col, text_col)
         groups = self.rows.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        self.copies = stored(groups.filter("n > 1"), "copies")[0]
-        self.words, _ = stored(bit_words(self.copies, "k1"), "bits")
-
-    def distinct(self) -> DataFrame:
-        """(doc_id, k1, k2, text), one row of each text. Only texts that may have copies are shuffled."""
-        told = flagged(self.rows, "k1", self.words)
+        self.shelf = Shelf(docs.sparkSession)
+        self.copies = self.shelf.put(groups.filter("n > 1"), "copies")
+        self.words = self.shelf.put(bit_words(self.copies, "k1"), "bits")
+
+    def distinct(self, sample: bool = False) -> DataFrame:
+        """(doc_id, k1, k2, text), one row of each text, or of one text in SAMPLE. Only texts that may have copies are shuffled."""
+        rows = self.rows.filter(F.pmod("k1", F.lit(SAMPLE)) == 0) if sample else self.rows
+        told = flagged(rows, "k1", self.words)
         once = told.filter("not perhaps").select("doc_id", "k1", "k2", "text")
         firsts = told.filter("perhaps").join(self.copies, ["k1", "k2"], "left").filter("first is null or doc_id <=> first")
         return once.unionByName(firsts.dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text"))
@@ -71,12 +73,11 @@ class Corpus:
             for batch in batches:
                 yield from anchors(batch)
 
-        found = self.distinct().mapInArrow(run, "fp long, k1 long, pos int, size int")
+        found, sample = (self.distinct(part).mapInArrow(run, "fp long, k1 long, pos int, size int") for part in (False, True))
         salts = F.ceil(F.col("n") / group_rows).cast("int").alias("salts")
-        often, _ = stored(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp", salts), "often")
-        told = flagged(found, "fp", stored(bit_words(often, "fp"), "bits")[0]).filter("perhaps").drop("perhaps")
-        # AQE splits the partitions of frequent anchors; a document's list is at most as long as its text.
-        return told.join(often, "fp").groupBy("k1").agg(F.collect_list(F.struct("fp", "pos", "size", "salts")).alias("hits"))
+        told = repeated(found, sample, "fp", ["k1", "pos"], group_rows)
+        # A document's list is at most as long as its text.
+        return told.groupBy("k1").agg(F.collect_list(F.struct("fp", "pos", "size", salts)).alias("hits"))
 
     def around(self, hits: DataFrame, cut: Callable, extra: str) -> DataFrame:
         """cut(bytes of a text, hits) -> columns after (fp, salt, salts, doc_id, k1, pos, size), given as DDL in extra."""
@@ -102,13 +103,14 @@ class Corpus:
 
         return packed(self.distinct()).drop("k2").join(hits, "k1").select("doc_id", "k1", "ztext", "hits").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 
-    def spans(self, segments: DataFrame, judge: Callable, extra: str, split: Callable | None = None, group_rows: int = 20_000) -> DataFrame:
+    def spans(self, segments: DataFrame, judge: Callable, extra: str, split: Callable | None = None, meet: Callable | None = None, group_rows: int = 20_000) -> DataFrame:
         """Spans (doc_id, k1, start, end) of all windows that recur.
 
         judge(rows of whole groups, as a dict of arrays) -> (rows, starts, ends of spans; rows that stand for their
-        windows). Groups of many rows are first judged in parts, by salt; then those that stand for the windows of
-        their part meet. If those are more than group_rows and `split` is given, they are split by what the windows have
-        in common: split(rows with the range lo..hi of offsets) -> the rows with parts of the range and a key each.
+        windows). Groups of many rows are judged in parts, by salt; then those that stand for the windows of their part
+        meet: meet(rows) -> their spans, by the windows themselves. Without `meet` they are judged by group again; if
+        they are more than group_rows, they are first split by what the windows have in common: split(rows with the
+        range lo..hi of offsets) -> the rows with parts of the range and a key each.
         """
         names = ["fp", "salts", "doc_id", "k1", "pos", "size", *(c.split()[0] for c in extra.split(", "))]
         ddl = f"fp long, salts int, doc_id long, k1 long, pos long, size long, {extra}, start long, end long"
@@ -132,20 +134,26 @@ class Corpus:
 
         columns = ["fp", "salt", "salts", "doc_id", "k1", "pos", "size", *names[6:]]
         first = segments.select(columns).repartition("fp", "salt").sortWithinPartitions("fp", "salt").mapInArrow(level(False), ddl)
-        first, _ = stored(first.filter("start is not null or salts > 1"), "judged")
+        shelf = Shelf(segments.sparkSession)
+        first = shelf.put(first.filter("start is not null or salts > 1"), "judged")
         rest = first.filter("start is null").withColumn("salt", F.lit(0).cast("long")).select(columns)
         out = ["doc_id", "k1", "start", "end"]
         found = [first.filter("start is not null").select(out)]
+        if meet:
+            spans = self.shelf.put(found[0].unionByName(meet(rest).select(out)), "spans")
+            shelf.keep()
+            return spans
         if split:
-            hot, _ = stored(rest.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > group_rows).select("fp"), "hot")
+            hot = shelf.put(rest.groupBy("fp").agg(F.count("*").alias("m")).filter(F.col("m") > group_rows).select("fp"), "hot")
             if not hot.isEmpty():
                 by = ["lo", "hi", "fp", "key"]
                 cold = [rest.join(hot, "fp", "left_anti").withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int"), "key": F.lit(0).cast("long")})]
                 parts = rest.join(hot, "fp", "left_semi").withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int")})
                 while parts is not None:
-                    parts, _ = stored(split(parts), "parts")
-                    sizes, _ = stored(parts.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
-                    met, _ = stored(parts.join(sizes, by), "met")
+                    parts = shelf.put(split(parts), "parts")
+                    sizes = shelf.put(parts.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+                    met = shelf.put(parts.join(sizes, by), "met")
+                    shelf.drop(parts, sizes)
                     # Rows that meet by one offset alone have the whole window in common.
                     found.append(met.filter("lo = hi").select("doc_id", "k1", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("lo") + F.col("window")).alias("end")))
                     cold.append(met.filter((F.col("lo") < F.col("hi")) & (F.col("m") <= group_rows)).select(*columns, "lo", "hi", "key"))
@@ -159,7 +167,9 @@ class Corpus:
         every = found[0]
         for part in found[1:]:
             every = every.unionByName(part)
-        return stored(every, "spans")[0]
+        spans = self.shelf.put(every, "spans")
+        shelf.keep()
+        return spans
 
     def finish(self, spans: DataFrame, make: Callable, outputs: str) -> DataFrame:
         """make(text bytes, spans or None, has an earlier copy, has any copy) -> the output columns, for every row.
@@ -167,8 +177,10 @@ class Corpus:
         Only texts with spans or copies are shuffled, with the spans of a text beside it.
         """
         per_text = spans.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        either = self.copies.select("k1").unionByName(spans.select("k1").distinct())
-        told = flagged(self.rows, "k1", stored(bit_words(either, "k1"), "bits")[0])
+        either = self.shelf.put(self.copies.select("k1").unionByName(spans.select("k1").distinct()), "either")
+        words = self.shelf.put(bit_words(either, "k1"), "bits")
+        told = flagged(self.rows, "k1", words)
+        self.shelf.keep(self.copies, spans, words)
         names = ["doc_id", *(c.split()[0] for c in outputs.split(", "))]
 
         def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

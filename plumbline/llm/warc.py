@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BITS, bit_words, flagged, shared_dir, stored
+from plumbline.llm.common import bit_words, flagged, shared_dir, stored
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -39,7 +39,7 @@ def uri(url) -> F.Column:
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, bits: int = BITS) -> DataFrame:
+def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, bits: int | None = None) -> DataFrame:
     """(page_id, url, payload, n_bytes, sha1, original, original_url): original is null for responses."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -47,7 +47,7 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     digests = rows.filter(F.col("n_bytes") >= least).select("sha256", "key", "page_id", "url")
     groups = digests.groupBy("sha256", "key").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("first")).filter("n > 1")
     groups, _ = stored(groups.select("sha256", "key", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "groups")
-    told = flagged(rows, "key", stored(bit_words(groups, "key", bits), "bits")[0], "again", bits)
+    told = flagged(rows, "key", stored(bit_words(groups, "key", bits), "bits")[0], "again")
     keep = ["page_id", "url", "payload", "n_bytes", "sha1", "original", "original_url"]
     alone = told.filter(~F.col("again") | (F.col("n_bytes") < least)).withColumns({"original": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")})
     # AQE splits the partition of a payload that many pages share.
