@@ -7,9 +7,10 @@ interior symbols wherever they stand. With each symbol goes the range of words t
 parts alone, a run and a symbol that stays alone need their neighbours, and the partner of a neighbour of the same name);
 a window holds a symbol if it holds that range.
 
-Each window is represented by the highest symbol it holds (ties by name). Spark counts these symbols over all documents;
-those that occur once are dropped, and the others meet by name, each with the hashes of the windows around it. Within a
-name, a window whose hash occurs earlier is verified as a repeat.
+Each window is represented by the highest symbol it holds (ties by name). Spark shuffles these symbols by name over all
+documents; those that occur once are dropped, and the others meet by name, each with the hashes of the windows around it.
+Within a name, a window whose hash occurs earlier is a repeat. Names of many symbols are judged in parts, and the first
+windows of the parts meet by their own hashes, so no task gets all places of a frequent name.
 
 Nulls and texts of fewer than `window` words lose nothing. Documents with equal texts are folded first: the first stands
 for all, later ones lose every window. Rows that repeat an id with another text are ordered by a hash of the text, null ids
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm.common import U, buffers, gram_hashes, mix, slices, union, word_hashes
 from plumbline.llm.repeats import Corpus
@@ -162,6 +164,32 @@ def later_windows(window: int):
     return judge
 
 
+def meeting_windows(window: int):
+    """Spans of the windows that are first in their part of a frequent name, but not over all its parts."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(4)]
+            if not each:
+                continue
+            offset = np.concatenate([np.arange(len(x)) for x in each])
+            row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            hashes = np.concatenate(each)
+            some = hashes != 0
+            at = pa.array(row[some])
+            start = batch.column(3).to_numpy()[row[some]] - offset[some]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(start), pa.array(hashes[some])], names=["fp", "doc_id", "k1", "start", "hash"])
+
+    def meet(rows: DataFrame) -> DataFrame:
+        spread_ = rows.select("fp", "doc_id", "k1", "pos", "windows").mapInArrow(spread, "fp long, doc_id long, k1 long, start long, hash long")
+        place = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "start")  # null ids come last
+        firsts = spread_.groupBy("fp", "hash").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").select("fp", "hash", "place")
+        again = spread_.join(firsts, ["fp", "hash"]).filter(place != F.col("place"))
+        return again.select("doc_id", "k1", "start", (F.col("start") + window).alias("end"))
+
+    return meet
+
+
 def kept_words(window: int):
     def make(text: bytes, spans, earlier: bool, copied: bool) -> tuple[int, int, str]:
         words = text.split()  # bytes split at 9-13 and 32
@@ -185,7 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
     corpus = Corpus(docs, id_col, text_col)
     segments = corpus.around(corpus.meeting(word_anchors(window)), window_hashes(window), "windows binary")
-    return corpus.finish(corpus.spans(segments, later_windows(window), "windows binary"), kept_words(window), "n_words long, n_removed long, kept_sha256 string")
+    return corpus.finish(corpus.spans(segments, later_windows(window), "windows binary", meet=meeting_windows(window)), kept_words(window), "n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_recompression(spark, sf_dir: str) -> DataFrame:
