@@ -3,11 +3,13 @@
 A chunk ends where the gear hash of the last 32 bytes has its `mask` bits clear (within `least` and `most` bytes), so
 equal passages cut alike wherever they stand. `store` writes two tables into the shared folder: `media` (a row per
 document: its list of chunk digests, and the bytes of those chunks that no other place holds) and `chunks` (digest and
-bytes, once each, of all chunks that occur more than once). `load` rebuilds each payload and verifies its digest.
+bytes, once each, of all chunks that occur more than once). A media row is a whole WAV file: the first entry of its list
+is the header, kept with the row's own bytes, and the digest of the file is stored with it. `load` rebuilds each file from
+what is stored, verifies that digest, and takes the payload from behind the header.
 
 Two scans of the documents take the place of a shuffle of their texts: the first shuffles digests only. Digests that
-occur more than once are told by a bitmap of fixed size; a chunk whose bit is clear occurs once, all others go through
-the shuffle that keeps one copy, so the result doesn't depend on the bitmap's size.
+occur more than once are told by a bitmap; a chunk whose bit is clear occurs once, all others go through the shuffle that
+keeps one copy, so the result doesn't depend on the bitmap's size.
 
 Null texts count as empty ones, empty ones are 192 blanks. A repeated (even wholly equal) row is a row of its own.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BITS, bitmap, marked, mix, stored, whole_texts
+from plumbline.llm.common import Shelf, bitmap, marked, mix, whole_texts
 
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
 UNIT = 192
@@ -69,20 +71,25 @@ def wav(samples: int) -> bytes:
 
 
 def chunked(text: str) -> tuple[bytes, list[bytes], list[bytes]]:
-    """(payload, chunks, digests) of a text; the chunks are those of the payload, the header follows from its length."""
+    """(payload, chunks, digests) of a text; the chunks are those of the payload."""
     data = payload(text)
     ends = cuts(np.frombuffer(data, np.uint8))
     parts = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    return data, parts, [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
+    return data, parts, [digest(p) for p in parts]
+
+
+def digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
 def key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(media, chunks), both written to the shared folder and reread."""
     spark = docs.sparkSession
+    shelf = Shelf(spark)
     texts = whole_texts(docs, id_col, text_col)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +98,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([key(d) for d in found], pa.int64())], names=["digest", "key"])
 
     often = texts.mapInArrow(digests, "digest binary, key long").groupBy("digest", "key").count().filter("count > 1")
-    flags = spark.sparkContext.broadcast(bitmap(often, "key", bits))  # bits / 8 bytes at any input size
+    often = shelf.put(often, "often")
+    flags = spark.sparkContext.broadcast(bitmap(often, "key", bits))  # at most BITS / 8 bytes
 
     entry = pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("shared", pa.bool_())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("recipe", pa.list_(entry)), ("own", pa.binary()), ("shared", pa.list_(pa.binary())), ("sha256", pa.string())])
@@ -106,22 +114,25 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                 rows[0].append(doc_id)
                 rows[1].append(len(text.encode()))
                 rows[2].append(len(data))
-                rows[3].append([{"digest": d, "size": len(p), "shared": s} for d, p, s in zip(names, parts, again, strict=True)])
-                rows[4].append(b"".join(p for p, s in zip(parts, again, strict=True) if not s))
+                head = wav(len(data))
+                rows[3].append([{"digest": digest(head), "size": len(head), "shared": False}, *({"digest": d, "size": len(p), "shared": s} for d, p, s in zip(names, parts, again, strict=True))])
+                rows[4].append(head + b"".join(p for p, s in zip(parts, again, strict=True) if not s))
                 rows[5].append([p for p, s in zip(parts, again, strict=True) if s])
-                rows[6].append(hashlib.sha256(data).hexdigest())
+                rows[6].append(hashlib.sha256(head + data).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, recipe array<struct<digest:binary,size:int,shared:boolean>>, own binary, shared array<binary>, sha256 string"
     media = texts.mapInArrow(packs, ddl)
     # The chunks that may occur elsewhere: one copy of each.
     pieces = media.select(F.explode(F.arrays_zip(F.filter("recipe", lambda x: x["shared"]).alias("r"), F.col("shared").alias("b"))).alias("x"))
-    chunks = stored(pieces.select(F.col("x.r.digest").alias("digest"), F.col("x.b").alias("bytes")).groupBy("digest").agg(F.first("bytes").alias("bytes")), "chunks")[0]
-    return stored(media.drop("shared"), "media")[0], chunks
+    chunks = shelf.put(pieces.select(F.col("x.r.digest").alias("digest"), F.col("x.b").alias("bytes")).groupBy("digest").agg(F.first("bytes").alias("bytes")), "chunks")
+    media = shelf.put(media.drop("shared"), "media")
+    shelf.keep(media, chunks)
+    return media, chunks
 
 
 def load(media: DataFrame, chunks: DataFrame, outputs: str, make) -> DataFrame:
-    """Rebuilds each stored payload, checks its SHA-256, and returns make(payload) (a tuple of the columns `outputs`).
+    """Rebuilds each stored file, checks its SHA-256, and returns make(file, number of chunks), the columns `outputs`.
 
     Only documents that share a chunk with others take part in a join.
     """
@@ -147,17 +158,25 @@ def load(media: DataFrame, chunks: DataFrame, outputs: str, make) -> DataFrame:
                         at += r["size"]
                 data = b"".join(parts)
                 if hashlib.sha256(data).hexdigest() != x["sha256"]:
-                    raise ValueError(f"document {x['doc_id']}: the stored chunks don't give its payload")
-                made.append((x["doc_id"], x["n_bytes"], *make(data, len(x["recipe"]))))
+                    raise ValueError(f"document {x['doc_id']}: the stored chunks don't give its file")
+                made.append((x["doc_id"], x["n_bytes"], *make(data, len(x["recipe"]) - 1)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=names)
 
     names = ["doc_id", "n_bytes", *(c.split()[0] for c in outputs.split(", "))]
     return rows.mapInArrow(run, f"doc_id long, n_bytes long, {outputs}")
 
 
-def features(data: bytes, n_chunks: int) -> tuple:
-    """Digest columns and signal features of a payload that was read back."""
-    media = wav(len(data)) + data
+def samples(media: bytes) -> bytes:
+    """The samples of a WAV file of wav()."""
+    n = len(media) - len(wav(0))
+    if media[: len(wav(0))] != wav(n):
+        raise ValueError("the header doesn't fit the file")
+    return media[len(wav(0)) :]
+
+
+def features(media: bytes, n_chunks: int) -> tuple:
+    """Digest columns and signal features of a file that was read back."""
+    data = samples(media)
     x = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
     feature = f"chunks={n_chunks};peak={int(np.abs(x).max())};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings}"
