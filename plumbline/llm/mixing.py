@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import Shelf, fresh
 
 #: Weights of the sources in code point order, repeating; total words as a share of all words; most copies.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -105,12 +105,14 @@ def sized(docs: DataFrame, text_col: str = "text", name: str = "size") -> DataFr
 
 
 def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = 20_000) -> DataFrame:
-    """sizes: (unit long, doc_id, source, size), unit unique. Returns it with source_size, target and copies.
+    """sizes: (unit long, unit2 long, doc_id, source, size), both units together unique. Returns it with source_size,
+    target and copies.
 
     Target rows are one per source; they are gathered to share the excess out, and broadcast only while Spark sees them
     as small (the join states no hint).
     """
     spark = sizes.sparkSession
+    shelf = Shelf(spark)
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).toArrow().to_pylist()
     target = targets({r["source"]: r["source_size"] for r in per_source}, weights, share, most)
     table = spark.createDataFrame(
@@ -121,24 +123,24 @@ def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     rows = sizes.join(table, sizes["source"].eqNullSafe(table["s"]), "left").drop("s").withColumn("rate", rate)
     rows = rows.withColumn("sure", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn("p", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
 
-    columns = "unit long, source string, size long, p double, blocks long"
+    columns = "unit long, unit2 long, source string, size long, p double, blocks long"
 
     def flight(last: bool):
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["draw", "unit"], ignore_index=True)
+            part = part.sort_values(["draw", "unit", "unit2"], ignore_index=True)
             p = fly(part.p.to_numpy(), part["size"].to_numpy(float), part.draw.to_numpy())
-            return part.assign(p=land(p, part["size"].to_numpy(float)) if last else p)[["unit", "source", "size", "p", "blocks"]]
+            return part.assign(p=land(p, part["size"].to_numpy(float)) if last else p)[["unit", "unit2", "source", "size", "p", "blocks"]]
 
         return run
 
-    todo = rows.filter("p > 1e-9").select("unit", "source", "size", "p", "blocks")
+    todo = rows.filter("p > 1e-9").select("unit", "unit2", "source", "size", "p", "blocks")
     decided, most_blocks, level = [], max([1, *(max(1, -(-r["n"] // block)) for r in per_source)]), 0
     while True:
         draw = F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
         slot = F.pmod(F.xxhash64("unit", F.lit(-1 - level)), F.col("blocks"))
         flown = todo.withColumn("draw", draw).groupBy("source", slot.alias("slot")).applyInPandas(flight(most_blocks == 1), columns)
-        flown = stored(flown, f"flight{level}")[0]
-        decided.append(flown.filter("p <= 0 or p >= 1").select("unit", "p"))
+        flown = shelf.put(flown, f"flight{level}")
+        decided.append(flown.filter("p <= 0 or p >= 1").select("unit", "unit2", "p"))
         if most_blocks == 1:
             break
         most_blocks = -(-2 * most_blocks // block)
@@ -147,35 +149,41 @@ def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     done = decided[0]
     for more in decided[1:]:
         done = done.unionByName(more)
-    out = rows.join(done.withColumnRenamed("p", "extra"), "unit", "left")
+    out = rows.join(done.withColumnRenamed("p", "extra"), ["unit", "unit2"], "left")
     return out.withColumn("copies", F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0)).cast("long")).drop("blocks", "rate", "sure", "p", "extra")
 
 
 def units(sizes: DataFrame) -> DataFrame:
-    """sizes with `unit`: the same number for a document in every run, also among rows of a repeated id."""
+    """sizes with `unit` and `unit2`: the same numbers for a document in every run, also among rows of a repeated id."""
     part = ["doc_id", "source", "size"]
     counts = sizes.groupBy(*part).count()
     numbered = counts.select(*part, F.posexplode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth", "_")).drop("_")
-    return numbered.select(F.xxhash64("doc_id", "source", "size", "nth").alias("unit"), *part)
+    return numbered.select(F.xxhash64("doc_id", "source", "size", "nth").alias("unit"), F.xxhash64(F.lit(1), "nth", "size", "source", "doc_id").alias("unit2"), *part)
 
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row per document of docs."""
-    sizes = stored(sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"), "sizes")[0]
-    return plan(units(sizes), **settings)
+    sizes = sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size")
+    return plan(units(Shelf(docs.sparkSession).put(sizes, "sizes")), **settings)
 
 
 def mixed(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
-    """The mix itself: each row of docs as many times as it was taken (0 to 2 times), with the columns of docs."""
+    """The mix itself: each row of docs as many times as it was taken (0 to 2 times), with the columns of docs.
+
+    Rows of one id, source and size are told apart by the hash of their text; wholly equal ones are taken in any order.
+    """
     keys = ["doc_id", "source", "size"]
-    decided = mix_sources(docs.select("doc_id", "source", F.col(text_col).alias("text")), **settings)
-    nth = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    decided = decided.withColumn("nth", nth(keys, "unit")).select(*(F.col(k).alias(f"_mix_{k}") for k in keys), F.col("nth").alias("_mix_nth"), F.col("copies").alias("_mix_copies"))
-    rows = sized(docs, text_col, "_size")
-    rows = rows.withColumn("_nth", nth(["doc_id", "source", "_size"], F.xxhash64(text_col)))
-    same = [rows[k].eqNullSafe(decided[f"_mix_{m}"]) for k, m in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"))]
-    out = rows.join(decided, [*same, rows["_nth"] == decided["_mix_nth"]]).filter("_mix_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
+    plain = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col(text_col).alias("text"))
+    decided = mix_sources(plain, **settings)
+    size, nth, copy, copies, *theirs = fresh(docs.columns, "_size", "_nth", "_copy", "_copies", "_id", "_source", "_words", "_turn")
+    number = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    decided = decided.withColumn("nth", number(keys, ["unit", "unit2"]))
+    decided = decided.filter("copies > 0").select(*(F.col(c).alias(t) for c, t in zip([*keys, "nth"], theirs, strict=True)), F.col("copies").alias(copies))
+    rows = sized(docs, text_col, size)
+    rows = rows.withColumn(nth, number(["doc_id", "source", size], [F.xxhash64(text_col)]))
+    same = [rows[mine].eqNullSafe(decided[t]) for mine, t in zip(["doc_id", "source", size, nth], theirs, strict=True)]
+    out = rows.join(decided, same)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
