@@ -146,15 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     chosen = known.filter(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = whole_texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    texts = whole_texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(*buffers(part.column(1))) for part in slices(batch, 1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(*buffers(part.column(3))) for part in slices(batch, 3))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "h", "x"])
 
-    # Rows of a repeated id can add more; the same bound holds for what reaches the driver.
-    rows = texts.mapInArrow(run, "y int, x array<double>").limit(2 * sample).toArrow()
+    # Of rows that repeat an id one counts, by the hash of its text.
+    rows = texts.mapInArrow(run, "doc_id long, y int, h long, x array<double>").groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), "h").alias("r")).select("r.y", "r.x").toArrow()
     y = rows.column("y").to_numpy()
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
     order = np.lexsort([*x.T[::-1], y])  # the fit does not depend on the order of partitions
