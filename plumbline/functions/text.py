@@ -63,12 +63,13 @@ def degenerate(text: Column) -> Column:
     tail = F.substring(text, -TAIL, TAIL)
     solid = F.regexp_replace(tail, r"\s", "")
     blank = F.char_length(solid) <= (1 - BLANK_SHARE) * F.char_length(tail)
-    lines = F.filter(F.transform(F.split(tail, r"\r\n|\n|\r"), F.trim), lambda x: F.char_length(x) >= LINE_LENGTH)
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(tail, r"\r\n|\n|\r"), stripped), lambda x: F.char_length(x) >= LINE_LENGTH)
     often = F.exists(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= TIMES)
-    probe = F.substring(tail, -PROBE, PROBE)
-    repeats = (F.char_length(tail) - F.char_length(F.replace(tail, probe, F.lit("")))) / F.char_length(probe)
+    probe = F.substring(F.regexp_replace(tail, r"\s+$", ""), -PROBE, PROBE)
+    repeats = (F.char_length(tail) - F.char_length(F.replace(tail, probe, F.lit("")))) / F.nullif(F.char_length(probe), F.lit(0))
     loop = (F.char_length(F.regexp_replace(probe, r"\s", "")) >= PROBE_SOLID) & (repeats >= TIMES)
-    return F.coalesce((F.char_length(tail) >= LEAST) & (blank | often | loop), F.lit(False))
+    return F.coalesce((F.char_length(tail) >= LEAST) & (blank | often | F.coalesce(loop, F.lit(False))), F.lit(False))
 
 
 def first_match(rules: list[tuple[str, Column]], default: str) -> Column:

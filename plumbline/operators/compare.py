@@ -10,36 +10,46 @@ from pyspark.sql import functions as F
 from plumbline.operators import selection, stats
 
 # Fixed values of the registered design.
-WORTHWHILE, DRAWS, SEED, TIERS = 0.10, 10_000, 20261001, ("L2", "L4")
+WORTHWHILE, DRAWS, SEED, TIERS, MOST_TRUNCATED = 0.10, 10_000, 20261001, ("L2", "L4"), 0.05
+#: Fields of a run that must equal the registered ones.
+PLAIN = ("model", "scorer_version", "temperature", "max_tokens", "rollouts", "split", "arm", "system_prompt_sha256")
 
 
 def conformity(metas: DataFrame, answers: DataFrame, ends: DataFrame, expected: dict) -> DataFrame:
     """(run_id, problems): every departure of a run from the registration `expected`.
 
-    expected: model, scorer_version, temperature, max_tokens, rollouts, split, split_sha256 fields as needed, tiers and
-    n_specs. A missing field is a departure.
+    expected: the fields of PLAIN that are registered, n_specs and tiers; split_sha256, hints (the arm must name its
+    source) and thinking if they are registered. A missing field is a departure.
     """
+    tiers = list(expected.get("tiers", TIERS))
+    of_tier = lambda t: F.col("tier") == t
+    counts = [c for i, t in enumerate(tiers) for c in (F.count_if(of_tier(t)).alias(f"n{i}"), F.count_distinct(F.when(of_tier(t), F.col("spec_id"))).alias(f"d{i}"))]
     per_run = answers.groupBy("run_id").agg(
         F.count("*").alias("n"),
-        F.count("api_error").alias("api_errors"),
-        F.count_distinct("tier", "spec_id").alias("pairs"),
+        F.count_if(F.coalesce("api_error", F.lit("")) != "").alias("api_errors"),
         F.count_distinct("served_model").alias("served_models"),
-        F.array_sort(F.collect_set("tier")).alias("tiers"),
-        F.count_if(F.coalesce("truncated", F.lit(False))).alias("truncated"),
+        F.count_if(F.coalesce("finish_reason", F.lit("")) == "length").alias("capped"),
+        F.count_if(~F.coalesce(F.col("tier").isin(*tiers), F.lit(False))).alias("strays"),
+        *counts,
     )
     end = ends.groupBy("run_id").agg(F.last("status").alias("status"))
     rows = metas.join(per_run, "run_id", "left").join(end, "run_id", "left")
-    rules = {}
-    for name in ("model", "scorer_version", "temperature", "max_tokens", "rollouts", "split", "arm", "system_prompt_sha256"):
-        if name in expected:
-            rules[f"{name} is not {expected[name]}"] = ~F.col(name).eqNullSafe(F.lit(expected[name]))
-    tiers = sorted(expected.get("tiers", TIERS))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rules = {f"{name} is not {expected[name]}": ~F.col(name).eqNullSafe(F.lit(expected[name])) for name in PLAIN if name in expected}
+    if "split_sha256" in expected:
+        rules["not the locked split with the registered fingerprint"] = ~F.col("test_split.sha256").eqNullSafe(F.lit(expected["split_sha256"]))
+    if expected.get("hints"):
+        rules["the hints have no source"] = F.col("hints_source").isNull()
+    if "thinking" in expected:
+        flag = F.get_json_object("extra_body", "$.chat_template_kwargs.enable_thinking")
+        rules[f"thinking is not {expected['thinking']}"] = ~flag.eqNullSafe(F.lit(str(expected["thinking"]).lower()))
     rules |= {
         "the run is not complete": ~F.col("status").eqNullSafe(F.lit("complete")),
-        "tiers differ from the plan": ~F.col("tiers").eqNullSafe(F.array(*map(F.lit, tiers))),
-        "there are API errors": F.coalesce("api_errors", F.lit(0)) > 0,
-        "answers are missing or repeated": ~(F.col("pairs").eqNullSafe(F.lit(len(tiers) * expected["n_specs"])) & F.col("n").eqNullSafe(F.col("pairs"))),
-        "several models were served": F.coalesce("served_models", F.lit(0)) > 1,
+        "too many answers are truncated": (number("n") > 0) & (number("capped") / F.nullif(F.col("n"), F.lit(0)) >= MOST_TRUNCATED),
+        "there are API errors": number("api_errors") > 0,
+        **{f"answers of tier {t} are missing or repeated": (number(f"n{i}") != expected["n_specs"]) | (number(f"d{i}") != expected["n_specs"]) for i, t in enumerate(tiers)},
+        "there are unregistered tiers": number("strays") > 0,
+        "several models were served": number("served_models") > 1,
         "retries were allowed": F.coalesce("feedback_retries", F.lit(0)) > 0,
     }
     return rows.select("run_id", selection.problems(rules).alias("problems"))

@@ -1,10 +1,8 @@
-"""Holes from cylinder faces, and parts made from parameters: the relational cores of measurement and of its test."""
+"""Holes from cylinder faces: the relational core of measurement."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import selection
@@ -29,81 +27,17 @@ def bores(faces: DataFrame) -> DataFrame:
 
 
 def off_axis(faces: DataFrame) -> DataFrame:
-    """(part, n): bores whose axis isn't Z, faces of one axis counted once.
+    """(part, n): whole bores whose axis isn't Z; faces of one axis and diameter are one bore.
 
-    faces: part, dx, dy, dz, px, py, pz (axis direction and a point on it), diameter, area, length.
+    faces: part, dx, dy, dz, px, py, pz (axis direction and a point on it), diameter, area, low, high (along the direction,
+    from the point). A bore counts if its faces cover at least FULL of the wall over their merged spans.
     """
     flip = F.when((F.col("dz") < -1e-9) | ((F.abs("dz") <= 1e-9) & ((F.col("dy") < -1e-9) | ((F.abs("dy") <= 1e-9) & (F.col("dx") < 0)))), -1.0).otherwise(1.0)
     along = F.col("px") * F.col("dx") + F.col("py") * F.col("dy") + F.col("pz") * F.col("dz")
     foot = [F.round(F.col(f"p{c}") - along * F.col(f"d{c}"), 3).alias(f"f{c}") for c in "xyz"]
-    axis = [F.round(F.col(f"d{c}") * flip, 4).alias(f"a{c}") for c in "xyz"]
-    keyed = faces.filter(F.abs("dz") < 1 - 1e-9).select("part", *axis, *foot, F.round("diameter", 4).alias("d"), "area", "length")
-    per = keyed.groupBy("part", "ax", "ay", "az", "fx", "fy", "fz", "d").agg(F.sum("area").alias("area"), F.max("length").alias("length"))
-    return per.filter(F.col("area") >= PARTIAL * F.pi() * F.col("d") * F.col("length")).groupBy("part").agg(F.count("*").alias("n"))
-
-
-# Mutants: name, family, change of length, width, thickness, diameter; shift of all holes, of the first, of the stock in
-# x, of the part in z; holes dropped. Deltas lie just inside, at and outside the strict tolerance, and on the grid.
-STEPS = ((0.09, "within_tol"), (0.11, "beyond_tol"), (0.25, "grid_error"), (0.5, "grid_error"))
-COLUMNS = "mutant string, family string, d_length double, d_width double, d_thickness double, d_diameter double, dx double, dy_first double, ox double, oz double, dropped int"
-
-
-def mutant_table() -> list[tuple]:
-    zero = [0.0] * 8
-    rows = [("nominal", "benign", *zero, 0), ("drop_one_hole", "count", *zero, 1)]
-    for at, name in enumerate(("length", "width", "thickness", "diameter", "pattern_dx", "one_hole_dy", "stock_dx", "part_dz")):
-        for delta, family in STEPS:
-            for sign in (1, -1) if at < 4 else (1,):
-                change = list(zero)
-                change[at] = sign * delta
-                rows.append((f"{name}{sign * delta:+.2f}", family, *change, 0))
-    return rows
-
-
-def mutants(specs: DataFrame) -> DataFrame:
-    """(spec_id, mutant, family, m, oracle_fails): every mutant of every spec, measured from its parameters alone."""
-    table = specs.sparkSession.createDataFrame(mutant_table(), COLUMNS)
-    rows = specs.join(F.broadcast(table.withColumn("_", F.lit(1))), F.lit(1) == F.col("_")).drop("_")  # a fixed table
-    value = lambda c: F.col(c) + F.col(f"d_{c}")
-    length, width, thickness, diameter = value("length"), value("width"), value("thickness"), F.col("hole_diameter") + F.col("d_diameter")
-
-    def hole(i: int, sx: int, sy: int) -> Column:
-        # Holes move with their edges, so that margins stay nominal.
-        x = sx * (length / 2 - F.col("edge_margin")) + F.col("dx")
-        y = sy * (width / 2 - F.col("edge_margin")) + (F.col("dy_first") if i == 0 else F.lit(0.0))
-        z = thickness / 2
-        fields = {"diameter": diameter, "x": x, "y": y, "depth": thickness, "z_min": F.col("oz") - z, "z_max": F.col("oz") + z, "segments": F.lit(1), "open": F.lit(True)}
-        return F.struct(*(v.alias(k) for k, v in fields.items()))
-
-    holes = F.slice(F.array(*(hole(i, sx, sy) for i, (sx, sy) in enumerate(((-1, -1), (-1, 1), (1, -1), (1, 1))))), 1, 4 - F.col("dropped"))
-    volume = length * width * thickness - F.size(holes) * math.pi * F.pow(diameter / 2, 2) * thickness
-    z = thickness / 2
-    m = {
-        "length": length, "width": width, "thickness": thickness, "volume": volume, "solid_count": F.lit(1), "shell_count": F.lit(1), "loose_count": F.lit(0), "valid": F.lit(True),
-        "x_min": F.col("ox") - length / 2, "x_max": F.col("ox") + length / 2, "y_min": -width / 2, "y_max": width / 2, "z_min": F.col("oz") - z, "z_max": F.col("oz") + z,
-        "off_axis_bores": F.lit(0), "surface_conformance": F.lit(True), "boundary_consistent": F.lit(True), "extra_volume": F.lit(0.0), "missing_volume": F.lit(0.0),
-        "partial_bores": F.array().cast("array<struct<diameter:double>>"), "holes": holes,
-    }
-    return rows.withColumn("m", F.struct(*(v.alias(k) for k, v in m.items()))).withColumn("oracle_fails", oracle())
-
-
-def oracle(limit: float = 0.1) -> Column:
-    """The requirements that a mutant fails under the strict tolerance, told from its parameters and not from its geometry.
-
-    The share of material isn't judged (its limit depends on the plate), nor what moves a corner by rounding.
-    """
-    over = lambda c: F.abs(c) > limit + 1e-9
-    shift_x = F.abs("dx") + F.abs(F.col("d_length")) / 2
-    pattern = F.greatest(F.sqrt(F.pow(shift_x, 2) + F.pow(F.abs(F.col("d_width")) / 2, 2)), F.sqrt(F.pow(shift_x, 2) + F.pow(F.abs("dy_first") + F.abs(F.col("d_width")) / 2, 2)))
-    margin = F.greatest(F.abs(F.col("dx") - F.col("ox")), F.abs("dy_first"))
-    rules = {
-        "R1_length": over(F.col("d_length")),
-        "R2_width": over(F.col("d_width")),
-        "R3_thickness": over(F.col("d_thickness")),
-        "R4a_hole_count": F.col("dropped") > 0,
-        "R4b_hole_diameter": over(F.col("d_diameter")),
-        "R5_hole_pattern": (F.col("dropped") > 0) | over(pattern),
-        "R7_edge_margin": over(margin),
-        "R8_datum": over(F.col("oz")),
-    }
-    return selection.problems(rules)
+    axis = [F.round(F.col(f"d{c}") * flip, 3).alias(f"a{c}") for c in "xyz"]
+    ends = [flip * (along + F.col(c)) for c in ("low", "high")]
+    keyed = faces.filter(F.abs("dz") < 1 - 1e-9).select("part", *axis, *foot, F.round("diameter", 4).alias("d"), "area", F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"))
+    keys = ["part", "ax", "ay", "az", "fx", "fy", "fz", "d"]
+    per = keyed.groupBy(*keys).agg(F.sum("area").alias("area")).join(selection.interval_union(keyed, keys, "lo", "hi", GAP), keys)
+    return per.filter((F.col("covered") > 0) & (F.col("area") >= FULL * F.pi() * F.col("d") * F.col("covered"))).groupBy("part").agg(F.count("*").alias("n"))

@@ -16,8 +16,8 @@ TOLERANCES = {
 }
 # Shared limits.
 PLATE_SHARE, MATERIAL_SHARE, FORM_LIMIT, SPAN, FLOOR, GATE_EPS = 0.12, 0.03, 1e-3, 0.01, 0.05, 1e-6
-GATES = ("single_solid", "clean_solid", "simple_through_holes", "hole_count_sane", "is_plate")
-REQUIREMENTS = ("R1_length", "R2_width", "R3_thickness", "R4a_hole_count", "R4b_hole_diameter", "R5_hole_pattern", "R6_material", "R7_edge_margin", "R8_datum", "R9_form")
+GATES = ("gate:single_solid", "gate:clean_solid", "gate:simple_through_holes", "gate:hole_count_sane", "gate:is_plate")
+REQUIREMENTS = ("R1:length", "R2:width", "R3:thickness", "R4a:hole_count", "R4b:hole_diameter", "R5:hole_pattern", "R6:material", "R7:edge_margin", "R8:z_datum", "R9:no_other_features")
 
 
 def close(a: Column, b: Column, tolerance: Column | float, eps: Column | float) -> Column:
@@ -43,16 +43,16 @@ def gates() -> dict[str, Column]:
         holes,
         lambda h: F.forall(here(h), lambda g: (g["diameter"] == h["diameter"]) & g["open"])
         & (here(h)[0]["segments"] == 1)
-        & (F.abs(here(h)[0]["z_min"] - F.col("m.z_min")) <= SPAN)
-        & (F.abs(here(h)[0]["z_max"] - F.col("m.z_max")) <= SPAN),
+        & (F.abs(here(h)[0]["z_min"] - F.col("m.z_min")) <= SPAN + GATE_EPS)
+        & (F.abs(here(h)[0]["z_max"] - F.col("m.z_max")) <= SPAN + GATE_EPS),
     )
     plate = F.col("m.length") * F.col("m.width") * F.col("m.thickness") - bores(None)
     return {
-        "single_solid": sure(F.col("m.solid_count") == 1),
-        "clean_solid": sure(F.col("m.valid") & (F.col("m.shell_count") == F.col("m.solid_count")) & (F.col("m.loose_count") == 0)),
-        "simple_through_holes": sure((F.size(holes) > 0) & simple),
-        "hole_count_sane": sure(F.size(holes) <= 3 * F.col("hole_count")),
-        "is_plate": sure((plate > 0) & (F.abs(F.col("m.volume") - plate) <= PLATE_SHARE * plate + GATE_EPS)),
+        "gate:single_solid": sure(F.col("m.solid_count") == 1),
+        "gate:clean_solid": sure(F.col("m.valid") & (F.col("m.shell_count") == F.col("m.solid_count")) & (F.col("m.loose_count") == 0)),
+        "gate:simple_through_holes": sure((F.size(holes) > 0) & simple),
+        "gate:hole_count_sane": sure(F.size(holes) <= 3 * F.col("hole_count")),
+        "gate:is_plate": sure((plate > 0) & (F.abs(F.col("m.volume") - plate) <= PLATE_SHARE * plate + GATE_EPS)),
     }
 
 
@@ -77,7 +77,7 @@ def pattern(one_to_one: Column) -> Column:
         lambda s: F.size(F.filter(holes, lambda h: F.exists(F.filter(spots, lambda p, i: member(s, i)), lambda p: near(p, h))))
         >= F.size(F.filter(spots, lambda p, i: member(s, i))),
     )
-    return F.when(one_to_one, hall).otherwise(all_near) & (F.size(holes) == F.col("hole_count"))
+    return F.when(one_to_one, hall).otherwise(all_near)
 
 
 def margin() -> Column:
@@ -111,16 +111,16 @@ def requirements() -> dict[str, Column]:
     strict = F.col("scorer_version") != "0.4.0"
     nominal = F.col("m.length") * F.col("m.width") * F.col("m.thickness") - F.col("hole_count") * F.pi() * F.pow(F.col("hole_diameter") / 2, 2) * F.col("m.thickness")
     return {
-        "R1_length": near("length", "linear"),
-        "R2_width": near("width", "linear"),
-        "R3_thickness": near("thickness", "linear"),
-        "R4a_hole_count": sure(F.size(holes) == F.col("hole_count")),
-        "R4b_hole_diameter": sure((F.size(holes) > 0) & F.forall(holes, lambda h: close(h["diameter"], F.col("hole_diameter"), tol("hole"), eps))),
-        "R5_hole_pattern": sure(pattern(strict)),
-        "R6_material": sure((nominal > 0) & (F.abs(F.col("m.volume") - nominal) <= MATERIAL_SHARE * nominal + GATE_EPS)),
-        "R7_edge_margin": sure((F.size(holes) > 0) & (margin() <= tol("margin") + eps)),
-        "R8_datum": sure(F.abs((F.col("m.z_min") + F.col("m.z_max")) / 2) <= tol("datum") + eps),
-        "R9_form": F.when(strict, form()[0]),
+        "R1:length": near("length", "linear"),
+        "R2:width": near("width", "linear"),
+        "R3:thickness": near("thickness", "linear"),
+        "R4a:hole_count": sure(F.size(holes) == F.col("hole_count")),
+        "R4b:hole_diameter": sure((F.size(holes) > 0) & F.forall(holes, lambda h: close(h["diameter"], F.col("hole_diameter"), tol("hole"), eps))),
+        "R5:hole_pattern": sure(pattern(strict)),
+        "R6:material": sure((nominal > 0) & (F.abs(F.col("m.volume") - nominal) <= MATERIAL_SHARE * nominal + GATE_EPS)),
+        "R7:edge_margin": sure((F.size(holes) > 0) & (margin() <= tol("margin") + eps)),
+        "R8:z_datum": sure(F.abs((F.col("m.z_min") + F.col("m.z_max")) / 2) <= tol("datum") + eps),
+        "R9:no_other_features": F.when(strict, form()[0]),
     }
 
 

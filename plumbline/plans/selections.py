@@ -46,26 +46,21 @@ def must_match_left_join(spark, d):
     return selection.must_match(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"])
 
 
-@register(
-    """WITH k AS (SELECT l_partkey, l_suppkey, count(*) AS n, any_value(l_quantity) AS q FROM lineitem GROUP BY ALL)
-    SELECT p_partkey AS l_partkey, a.l_suppkey, coalesce(n > 1, false) AS ambiguous, CASE WHEN n = 1 THEN q END AS l_quantity
-    FROM (SELECT p_partkey, s_suppkey AS l_suppkey FROM part, supplier WHERE (p_partkey + s_suppkey) % 50 = 0) a LEFT JOIN k ON l_partkey = p_partkey AND k.l_suppkey = a.l_suppkey"""
-)
-def ambiguous_key_join(spark, d):
-    residue = lambda c: F.pmod(F.col(c), F.lit(50))
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), residue("p_partkey").alias("r"))
-    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.pmod(F.lit(50) - residue("s_suppkey"), F.lit(50)).alias("r"))
-    asked = parts.join(suppliers, "r").drop("r")
-    return selection.with_ambiguity(asked, table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"), ["l_partkey", "l_suppkey"])
+AMBIGUOUS = "SELECT l_partkey, l_suppkey, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN any_value(l_quantity) END AS l_quantity FROM lineitem GROUP BY ALL"
 
 
-@register("SELECT l_partkey, l_suppkey, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN any_value(l_quantity) END AS l_quantity FROM lineitem GROUP BY ALL")
-def ambiguous_key_join_all(spark, d):
-    """ambiguous_key_join asked with every key of lineitem instead of a set of possible ones."""
+@register(AMBIGUOUS)
+def ambiguous_key_join(spark, d):
+    """Asked with every key of lineitem."""
     rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     return selection.with_ambiguity(rows.select("l_partkey", "l_suppkey").distinct(), rows, ["l_partkey", "l_suppkey"])
 
 
+@register(AMBIGUOUS)
+def ambiguous_key_join_all(spark, d):
+    return ambiguous_key_join(spark, d)
+
+
 @register("SELECT l_partkey, l_suppkey, count(*) - 1 AS excess FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, d):
     return selection.duplicates(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])

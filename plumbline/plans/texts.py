@@ -18,28 +18,29 @@ def first_match_label(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_match(rules, "other").alias("label"))
 
 
-@register("SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS code FROM documents WHERE text NOT LIKE '%```%' AND NOT regexp_matches(text, '(?m)^[ \\t]')")
+@register()
 def fenced_extract(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").contains("```") & ~F.col("text").rlike(r"(?m)^[ \t]"))
-    return rows.select("doc_id", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
+    """Every document; SQL can't express dedent, tests hold it against textwrap.dedent."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
 
 
 @register()
 def fenced_extract_all(spark, d):
-    """fenced_extract over every document, also with fences and indentation, which its SQL leaves out."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
+    return fenced_extract(spark, d)
+
 
+NORMALISED = r"""SELECT doc_id, left(regexp_replace(text, '[\p{C}\p{Z}]', ' ', 'g'), 300) AS cleaned,
+    left(regexp_replace(text, '^[\p{L}\p{M}\p{N}_]*(Error|Exception): ?', ''), 80) AS core FROM documents"""
 
-@register("SELECT doc_id, left(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g'), 300) AS cleaned, left(regexp_replace(text, '^[A-Za-z0-9_]*(Error|Exception): ?', ''), 80) AS core FROM documents WHERE NOT regexp_matches(text, '[^\\x20-\\x7E\\n\\t\\r]')")
+
+@register(NORMALISED)
 def normalise_error(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x20-\x7E\n\t\r]"))
-    return rows.select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
+    return table(spark, d, "documents").select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
 
 
-@register()
+@register(NORMALISED)
 def normalise_error_all(spark, d):
-    """normalise_error over every document, whatever its characters, most of which its SQL leaves out."""
-    return table(spark, d, "documents").select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
+    return normalise_error(spark, d)
 
 
 @register("SELECT event_id, CAST(nullif(regexp_extract(props, '\"k\"[^0-9\\-]{0,3}(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM events")
@@ -63,10 +64,10 @@ def conversation_flatten(spark, d):
 
 @register(
     """WITH d AS (SELECT doc_id, right(text, 1500) AS t FROM documents),
-    x AS (SELECT *, right(t, 24) AS probe, list_filter(list_transform(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda s: trim(s, ' ')), lambda s: length(s) >= 6) AS lines FROM d),
+    x AS (SELECT *, right(regexp_replace(t, '\\s+$', ''), 24) AS probe, list_filter(list_transform(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 6) AS lines FROM d),
     y AS (SELECT *, coalesce(list_max(map_values(list_histogram(lines))), 0) AS most FROM x)
     SELECT doc_id, length(t) >= 200 AND (length(regexp_replace(t, '\\s', '', 'g')) <= 0.2::DOUBLE * length(t) OR most >= 6 OR
-    (length(regexp_replace(probe, '\\s', '', 'g')) >= 12 AND (length(t) - length(replace(t, probe, ''))) / 24 >= 6)) AS looping FROM y"""
+    (length(regexp_replace(probe, '\\s', '', 'g')) >= 12 AND (length(t) - length(replace(t, probe, ''))) / nullif(length(probe), 0) >= 6)) AS looping FROM y"""
 )
 def degenerate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.degenerate(F.col("text")).alias("looping"))

@@ -19,7 +19,8 @@ prompt string, completion string, usage struct<completion_tokens:long>,
 attempts array<struct<completion:string,error:string,reward:double,cost_usd:double,finish_reason:string>>, previous_reward double"""
 META = """run_id string, provider string, model string, temperature double, max_tokens int, base_seed int, rollouts int, split string,
 sample_seed long, scorer_version string, package_version string, git_commit string, planned struct<tiers:array<string>,spec_ids:array<string>,rollouts:int,total:int>,
-system_prompt string, arm string, feedback_retries int, system_prompt_sha256 string, budget_usd double, rescored_from_version string"""
+system_prompt string, arm string, feedback_retries int, system_prompt_sha256 string, budget_usd double, rescored_from_version string,
+test_split struct<seed:long,sha256:string>, hints_source string, extra_body string"""
 END = "status string, written int, planned int, spent_usd double, unknown_cost_calls int, truncated int, degenerate int"
 
 
@@ -104,13 +105,18 @@ def verify_manifest(spark: SparkSession, manifest: DataFrame, root: str) -> Data
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Models of a saved price list that can be used: text, priced, no free, batch or hidden variants."""
-    schema = "data array<struct<id:string,context_length:long,architecture:struct<modality:string>,pricing:struct<prompt:string,completion:string>>>"
+    """Models of a saved price list that can be used: text only, priced (one of both prices may be 0), no free, batch or
+    hidden variants. Prices that are no numbers, or negative as of routers, leave a model out; a missing one is 0."""
+    schema = "data array<struct<id:string,context_length:long,architecture:struct<output_modalities:array<string>>,pricing:struct<prompt:string,completion:string>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
-    price = lambda c: F.col(f"pricing.{c}").cast("double") * 1e6
+    price = lambda c: F.coalesce(F.col(f"pricing.{c}"), F.lit("0")).try_cast("double") * 1e6
     rows = rows.withColumns({"input_per_mtok": price("prompt"), "output_per_mtok": price("completion")})
-    usable = ~F.col("id").rlike(":(free|batch)$") & ~F.col("id").contains("~") & F.coalesce(F.col("architecture.modality").endswith("->text"), F.lit(False))
-    return rows.filter(usable & (F.col("input_per_mtok") > 0) & (F.col("output_per_mtok") > 0)).select("id", "context_length", "input_per_mtok", "output_per_mtok")
+    out = F.col("architecture.output_modalities")
+    text_only = F.coalesce(F.size(out) <= 0, F.lit(True)) | F.forall(out, lambda x: x == "text")
+    hidden = F.col("id").rlike(":(free|batch)$") | F.col("id").startswith("~")
+    p, q = F.col("input_per_mtok"), F.col("output_per_mtok")
+    return rows.filter(F.coalesce(text_only, F.lit(True)) & ~hidden & (p >= 0) & (q >= 0) & (p + q > 0)).select("id", "context_length", "input_per_mtok", "output_per_mtok")
+
 
 
 def broken_links(spark: SparkSession, root: str) -> DataFrame:

@@ -16,7 +16,7 @@ def write_run(folder, run_id, model, passes, tiers=("L1", "L2", "L3", "L4"), sta
     for t in tiers:
         for s in specs:
             ok = passes(t, s)
-            lines.append({"tier": t, "spec_id": s, "rollout": 0, "reward": 1.0 if ok else 0.5, "built": True, "checks": {"single_solid": True, "R1_length": ok}, "completion": "x" * 10, "usage": {"completion_tokens": 5}})
+            lines.append({"tier": t, "spec_id": s, "rollout": 0, "reward": 1.0 if ok else 0.5, "built": True, "checks": {"gate:single_solid": True, "R1:length": ok}, "completion": "x" * 10, "usage": {"completion_tokens": 5}})
     if status:
         lines.append({"end": {"status": status, "written": len(lines) - 1}})
     (folder / f"{name or run_id}.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\n")
@@ -112,9 +112,30 @@ def test_manifest_and_links(spark, tmp_path):
 
 
 def test_specs(spark):
-    specs = spec_source.sample(spark, 60, 1)
-    assert specs.filter(spec_source.feasible()).count() == 60
-    assert {r.split: r["count"] for r in spec_source.splits(specs).groupBy("split").count().collect()}["eval"] >= 20
+    specs = spec_source.splits(spec_source.sample(spark, 230, spec_source.SAMPLE_SEED)).cache()
+    assert specs.filter(spec_source.feasible()).count() == 230
+    assert {r.split: r["count"] for r in specs.groupBy("split").count().collect()} == {"eval": 30, "train": 200}
     a, b = (spec_source.fingerprint(s.withColumn("split", F.lit("x"))).first().sha256 for s in (specs, specs.repartition(3)))
     assert a == b
-    assert spec_source.tasks(specs).count() == 300
+    # The published fingerprint of the test split.
+    assert spec_source.fingerprint(spec_source.locked_split(spark)).first().sha256 == "019d197efecedc079209fcb5900c7d5b2ff894481bc6cc85954826070c30c51b"
+    assert spec_source.tasks(specs).count() == 1150
+
+
+def test_catalogue(spark, tmp_path):
+    model = lambda i, p, q, out=("text",): {"id": i, "context_length": 1, "architecture": {"output_modalities": out}, "pricing": {"prompt": p, "completion": q}}
+    rows = [model("a", "0.001", "0"), model("b", "0", "0"), model("c:free", "1", "1"), model("~d", "1", "1"), model("e~f", "1", "1"), model("g", "1", "1", ("text", "image")), model("h", "-1", "1"), model("i", "1", "1", None)]
+    (tmp_path / "models.json").write_text(json.dumps({"data": rows}))
+    assert sorted(r.id for r in source.catalogue(spark, str(tmp_path / "models.json")).collect()) == ["a", "e~f", "i"]
+
+
+def test_conformity(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    write_run(tmp_path / "b", "1", "m", lambda t, s: True, tiers=("L2", "L4"), specs=["x", "y"], split="test", test_split={"seed": 1, "sha256": "f"}, arm="hint", hints_source="h", extra_body={"chat_template_kwargs": {"enable_thinking": False}}, temperature=0.0)
+    runs = source.scan(spark, str(tmp_path / "b"))
+    good = {"model": "m", "temperature": 0.0, "split": "test", "split_sha256": "f", "arm": "hint", "hints": True, "thinking": False, "n_specs": 2}
+    problems = lambda **change: compare.conformity(runs.metas, runs.answers, runs.ends, {**good, **change}).first().problems
+    assert problems() == []
+    assert problems(split_sha256="g", thinking=True, temperature=0.7) == ["temperature is not 0.7", "not the locked split with the registered fingerprint", "thinking is not True"]
+    assert problems(tiers=("L2",)) == ["there are unregistered tiers"]
+    assert problems(n_specs=3) == ["answers of tier L2 are missing or repeated", "answers of tier L4 are missing or repeated"]

@@ -36,37 +36,43 @@ def test_perfect_part(spark):
     row = scored(spark, part())
     assert failed(row) == set() and (row.reward, row.binary) == (1.0, 1.0)
     old = scored(spark, part("0.4.0"))
-    assert "R9_form" not in old.checks and old.reward == 1.0
+    assert "R9:no_other_features" not in old.checks and old.reward == 1.0
 
 
 @pytest.mark.parametrize(("version", "diameter", "ok"), [("0.5.0", 6.6, True), ("0.5.0", 6.600001, False), ("0.4.0", 6.7, True), ("0.4.0", 6.71, False)])
 def test_diameter_edges(spark, version, diameter, ok):
     spots = [(sx * 40.0, sy * 20.0, diameter) for sx in (-1, 1) for sy in (-1, 1)]
-    assert ("R4b_hole_diameter" in failed(scored(spark, part(version, holes=spots)))) is not ok
+    assert ("R4b:hole_diameter" in failed(scored(spark, part(version, holes=spots)))) is not ok
 
 
 def test_unknown_is_never_a_pass(spark):
-    assert failed(scored(spark, part(surface_conformance=None))) == {"R9_form"}
+    assert failed(scored(spark, part(surface_conformance=None))) == {"R9:no_other_features"}
 
 
 def test_build_error_and_gate_give_zero(spark):
     row = scored(spark, part(error="no code"))
     assert (row.reward, row.floored, row.checks) == (0.0, 0.0, None)
     row = scored(spark, part(solid_count=2, shell_count=2))
-    assert failed(row) == {"single_solid"} and (row.reward, row.floored) == (0.0, 0.05)
+    assert failed(row) == {"gate:single_solid"} and (row.reward, row.floored) == (0.0, 0.05)
 
 
 def test_one_to_one_pattern(spark):
     # Two holes stacked near one corner, none at another: any-match and one-to-one both fail; a missing corner fails R5.
     spots = [(-40.0, -20.0, 6.5), (-40.05, -20.0, 6.5), (40.0, -20.0, 6.5), (40.0, 20.0, 6.5)]
-    assert "R5_hole_pattern" in failed(scored(spark, part(holes=spots)))
+    assert "R5:hole_pattern" in failed(scored(spark, part(holes=spots)))
     spots = [(-40.0, -20.0, 6.5), (-40.0, 20.0, 6.5), (40.0, -20.0, 6.5), (40.0, 20.05, 6.5)]
-    assert "R5_hole_pattern" not in failed(scored(spark, part(holes=spots)))
+    assert "R5:hole_pattern" not in failed(scored(spark, part(holes=spots)))
+
+
+def test_fifth_hole_leaves_the_pattern(spark):
+    spots = [(sx * 40.0, sy * 20.0, 6.5) for sx in (-1, 1) for sy in (-1, 1)] + [(0.0, 0.0, 6.5)]
+    got = failed(scored(spark, part(holes=spots)))
+    assert "R4a:hole_count" in got and "R5:hole_pattern" not in got
 
 
 def test_size_partial_credit(spark):
     row = scored(spark, part(length=101.0))
-    assert {"R1_length", "R7_edge_margin"} <= failed(row) and row.reward == round((10 - len(failed(row))) / 10, 4)
+    assert {"R1:length", "R7:edge_margin"} <= failed(row) and row.reward == round((10 - len(failed(row))) / 10, 4)
 
 
 def test_observation(spark):

@@ -31,10 +31,67 @@ def test_numbers(spark):
 
 
 def test_labels(spark):
-    assert one(spark, "AttributeError: 'W' object has no attribute 'foo'", classify.api_kind) == "unknown attribute foo"
-    assert one(spark, "SyntaxError: invalid syntax", classify.unbuilt_label) == "syntax error"
-    df = spark.createDataFrame([({"single_solid": True, "R2_width": False, "R1_length": False},), ({},)], "c map<string,boolean>")
-    assert [r.x for r in df.select(classify.check_label(F.col("c")).alias("x")).collect()] == ["R1_length", None]
+    kind = lambda e: one(spark, e, classify.api_kind)
+    assert kind("AttributeError: 'Workplane' object has no attribute 'foo'") == "no such method: Workplane.foo"
+    assert kind("TypeError: Workplane.__init__() got an unexpected keyword") == "wrong arguments to __init__()"
+    assert kind("DispatchError: ('rect: 0 methods found', (<class 'cadquery.cq.Workplane'>") == "no matching signature for Workplane.rect()"
+    assert kind("execution failed [raised in cadquery: Workplane.hole]: ValueError: x") == "ValueError in Workplane.hole()"
+    label = lambda e: one(spark, e, classify.unbuilt_label)
+    assert label("SyntaxError: invalid syntax") == "syntax error"
+    assert label("execution failed: Standard_Failure") == "geometry kernel failure"
+    assert label("execution failed [raised in cadquery: Workplane.hole]: ValueError: x") == "CadQuery API error"
+    assert label("execution failed [raised in model code]: KeyError: 1") == "Python error in model code"
+    assert [label(e) for e in ("", "the answer did not define a part", "execution failed: KeyError", "ran out of its execution budget")] == ["no part produced", "no part produced", "build failed", "timeout"]
+    df = spark.createDataFrame([({"gate:single_solid": True, "R2:width": False, "R8:z_datum": False},), ({},)], "c map<string,boolean>")
+    assert [r.x for r in df.select(classify.check_label(F.col("c")).alias("x")).collect()] == ["wrong plate size", "other"]
+    assert one(spark, "off Z datum", classify.group_of) == "one dimension wrong"
+
+
+def corners(x, y, dx=0.0, dy=0.0):
+    return [(sx * x / 2 + dx, sy * y / 2 + dy) for sx in (-1, 1) for sy in (-1, 1)]
+
+
+@pytest.mark.parametrize(
+    ("points", "code", "off_axis", "label"),
+    [
+        (corners(80, 40), "", 0, None),
+        (corners(80, 40, 40, 20), "", 0, "pattern anchored at a corner"),
+        (corners(60, 20), "", 0, "margin applied twice"),
+        (corners(40, 80), "", 0, "X and Y swapped"),
+        (corners(160, 40), "", 0, "pitch read as coordinates"),
+        (corners(80, 40)[:3] + [(0.0, 0.0)], "", 0, "some holes right, some wrong"),
+        (corners(80, 33), "", 0, "one axis misplaced"),
+        (corners(71, 33), "", 0, "holes misplaced (other)"),
+        ([(0.0, 0.0)] * 4, "w.rect(1, 2).hole(6)", 0, "holes stacked at one point"),
+        ([(0.0, 0.0)], "pushPoints([(0, 0), (80, 0)])", 0, "pattern anchored at a corner"),
+        ([(9.0, 9.0)], "w.hole(6).hole(6)", 0, "holes stacked at one point"),
+        ([], "", 0, "no holes"),
+        ([], "w.pushPoints(p).hole(6)", 4, "holes drilled along the wrong axis"),
+    ],
+)
+def test_pattern_labels(spark, points, code, off_axis, label):
+    frame = spark.createDataFrame([(points, code, off_axis)], "p array<struct<x:double,y:double>>, c string, o int")
+    got = frame.select(classify.pattern_label(F.col("p"), F.lit(80.0), F.lit(40.0), F.lit(10.0), F.col("c"), F.col("o")).alias("x"))
+    assert got.first().x == label
+
+
+def test_change_and_failure_labels(spark):
+    spec = "length double, width double, thickness double, hole_diameter double, edge_margin double"
+    schema = ", ".join(["m struct<length:double,width:double,thickness:double,holes:array<struct<diameter:double>>>", "p array<struct<x:double,y:double>>", "r array<array<double>>", spec, *(f"a_{c}" for c in spec.split(", "))])
+    new, old = (120.0, 60.0, 8.0, 6.0, 10.0), (100.0, 60.0, 8.0, 6.0, 10.0)
+    rows = [
+        ((100.0, 60.0, 8.0, [(6.0,)]), corners(80, 40), None, *new, *old),
+        ((120.0, 60.0, 8.0, [(6.0,)]), corners(80, 40), None, *new, *old),
+        ((120.0, 60.0, 8.0, []), [], [[80.0, 40.0]], *new, *old),
+        ((120.0, 60.0, 8.0, [(6.0,)]), corners(100, 40), None, *new, *old),
+    ]
+    got = spark.createDataFrame(rows, schema).select(classify.change_label("m", F.col("p"), F.col("r")).alias("x")).collect()
+    assert [r.x for r in got] == ["change order ignored", "change not propagated to pitch", "change not propagated to pitch", None]
+    fields = "api_error string, truncated boolean, degenerate boolean, built boolean, error string, timeout boolean, measured boolean, tier string, checks map<string,boolean>"
+    rows = [("x", None, None, None, None, None, None, "L1", {}), (None, True, True, None, None, None, None, "L1", {}), (None, True, False, None, None, None, None, "L1", {}), (None, False, False, False, "", True, None, "L1", {}), (None, False, False, True, None, False, True, "L1", {"R6:material": False})]
+    frame = spark.createDataFrame(rows, fields)
+    got = frame.select(classify.failure_label({c: F.col(c) for c in frame.columns}, F.lit(None).cast("string")).alias("x")).collect()
+    assert [r.x for r in got] == ["API error", "degenerate loop", "cut off", "timeout", "material off"]
 
 
 def test_costs(spark):
