@@ -35,3 +35,26 @@ def test_stages(spark):
         if name == "tokens":
             assert after.count() == before.count() and after.filter("n_tokens > 0").count() == after.count()
         before = after
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    """Null ids, sources and texts, empty and repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    nameless = docs.filter("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    odd = docs.unionByName(nameless).unionByName(nameless)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, SF), stage(spark, empty, SF)
+        if name != "tokens":
+            assert out.columns == none.columns == docs.columns
+        assert none.count() == 0
+        n = out.count()
+        if name in ("secrets", "tokens"):
+            assert n == odd.count()
+        if name == "near_duplicates":
+            rows = out.collect()
+            assert len({(r.doc_id, r.text or "") for r in rows}) == n  # repeated rows once
+            whole = {r.doc_id for r in rows}
+            assert {0, 1, 2, 3}.issubset(whole)  # texts without words are no copies of others
+            assert not {10, 11} & whole  # exact copies of 9
