@@ -192,9 +192,9 @@ BITS = 1 << 26
 
 
 def bits_for(values: int, most: int | None = None) -> int:
-    """Bits of a bitmap for so many values: 16 a value (a power of two), until `most` is reached."""
+    """Bits of a bitmap for so many values: 64 a value (a power of two), until `most` is reached."""
     most = most or BITS
-    return min(most, max(64, 1 << (16 * max(values, 1) - 1).bit_length()))
+    return min(most, max(64, 1 << (64 * max(values, 1) - 1).bit_length()))
 
 
 def bit_words(values: DataFrame, column: str, bits: int | None = None) -> DataFrame:
