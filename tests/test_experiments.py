@@ -210,3 +210,15 @@ def test_numbers(spark):
     assert [r.y for r in df.select(numbers.snapped(F.col("x")).alias("y")).collect()] == [max(0.5, round(v * 2) / 2) for v in grid]
     row = spark.sql("select timestamp'2026-01-02 03:04:05' as t").select(numbers.run_id(F.col("t")).alias("i"), numbers.iso(F.col("t")).alias("s"), numbers.seconds_between(F.lit("2026-01-02T03:04:00+00:00"), F.lit("2026-01-02T03:04:05.5+00:00")).alias("d")).first()
     assert row == ("20260102T030405Z", "2026-01-02T03:04:05+00:00", 5.5)
+
+
+def test_replication_conformity(spark):
+    schema = "run_id string, split string, replication_split struct<sha256:string>, feedback_retries int, package_version string"
+    metas = spark.createDataFrame([("a", "replication", Row(sha256="f"), None, "1"), ("b", "replication", Row(sha256="g"), None, "2")], schema)
+    rows = [(r, t, s, None, "m", "stop") for r, specs in (("a", ("s1", "s2")), ("b", ("s1", "s3"))) for t in ("L2", "L4") for s in specs]
+    answers = spark.createDataFrame(rows, "run_id string, tier string, spec_id string, api_error string, served_model string, finish_reason string")
+    ends = spark.createDataFrame([("a", "complete"), ("b", "complete")], "run_id string, status string")
+    expected = {"split": "replication", "split_sha256": "f", "n_specs": 2, "tiers": ("L2", "L4")}
+    found = {r.run_id: r.problems for r in replication.conformity(metas, answers, ends, expected, ["s2", "s1"], package_version="1").collect()}
+    assert found["a"] == []
+    assert found["b"] == ["not the locked split with the registered fingerprint", "the spec ids are not exactly those of the split", "package_version is not 1"]
