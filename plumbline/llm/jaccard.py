@@ -27,13 +27,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Shelf, U, bit_words, buffers, flagged, mix, repeated, slices, word_hashes
+from plumbline.llm.common import Shelf, U, bit_words, buffers, flagged, fresh, mix, repeated, slices, word_hashes
 from plumbline.llm.repeats import Corpus
 
 WORDS = 3
@@ -164,10 +165,8 @@ class Join:
         self.sizes = shelf.put(self.corpus.distinct().mapInArrow(count, "node long, k2 long, doc_id long, n long"), "sizes")
         signed, sample = (self.corpus.distinct(part).mapInArrow(sign, "node long, sign long, band byte, part int") for part in (False, True))
         again = repeated(signed, sample, "sign", ["node"]).select("node", "sign", "band", "part")
-        again = shelf.put(again.join(self.sizes.select("node", "n"), "node"), "again")
         #: Rows (sign, node, n, band, part) of signatures that several documents have, of documents that may have a partner.
-        self.rows = shelf.put(self.possible(again), "rows")
-        shelf.drop(again)
+        self.rows = shelf.put(self.possible(again.join(self.sizes.select("node", "n"), "node")).select("sign", "node", "n", "band", "part"), "rows")
         members = shelf.put(self.rows.select("node").distinct(), "members")
         wanted = flagged(self.corpus.distinct(), "k1", shelf.put(bit_words(members, "node"), "bits")).filter("perhaps")
         self.sets = shelf.put(wanted.select("k1", "text").mapInArrow(collect, "node long, set binary"), "sets")
@@ -177,18 +176,20 @@ class Join:
         """The rows of documents that can have a partner by these rows, which hold all signatures that others have too.
 
         A part without any counts as two differences, one without all as one; in all there may be as many as the
-        document and the largest partner in the band allow.
+        document and the largest partner in the band allow. One shuffle by document serves the counts of its parts and
+        their sum, so rows are neither stored nor joined for it.
         """
         percent = self.percent
         of_band = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("band").cast("int") + 1)
         n1 = of_band([parts_of(b, percent) for b in range(len(BANDS))])
         most = F.least(of_band([int(b) for b in BANDS]), F.floor(F.col("n") * 100 / percent))
         needed = F.when(n1 == 0, 1).otherwise(2 * n1 - F.floor((100 - percent) * (F.col("n") + most) / (100 + percent)))
-        dealt = rows.repartition("node", "band")
-        parts = dealt.groupBy("node", "band", "part").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-        score = F.sum(F.when(F.col("c") == len(SUBSETS), 2).otherwise(1))
-        stay = parts.groupBy("node", "band").agg(score.alias("score"), F.first("n").alias("n")).filter(F.col("score") >= needed).select("node", "band")
-        return dealt.join(stay, ["node", "band"], "left_semi").select("sign", "node", "n", "band", "part")
+        scale = lcm(*range(1, len(SUBSETS) + 1))  # a part's score is shared out to its rows in whole numbers
+        c, score = fresh(rows.columns, "_c", "_score")
+        share = F.when(F.col(c) == len(SUBSETS), 2 * scale).otherwise(scale) / F.col(c)
+        told = rows.withColumn(c, F.count("*").over(Window.partitionBy("node", "band", "part")))
+        told = told.withColumn(score, F.sum(share.cast("long")).over(Window.partitionBy("node", "band")))
+        return told.filter(F.col(score) >= needed * scale).select(rows.columns)
 
     def similar_sizes(self, n, m) -> F.Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -220,8 +221,7 @@ class Join:
         rows = self.rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = self.shelf.put(rows, "labelled")
         open_ = rows.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("sign")
-        open_ = self.possible(rows.join(open_, "sign", "left_semi"))
-        return open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return self.possible(rows.join(open_, "sign", "left_semi"))
 
     def star(self, labels: DataFrame | None, turn: int) -> DataFrame:
         """One pair for each document: with the bucket centre of another component that it shares most signatures with."""
