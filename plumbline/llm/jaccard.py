@@ -12,9 +12,9 @@ others together. So a document whose parts, by the signatures that recur at all,
 allows has no partner, and its signatures are dropped (`Join.possible`). That leaves a tenth of the documents or less.
 
 Documents that share a signature are verified exactly, on whole sets, but not all pairs of a bucket: first each document
-against one member of its buckets (stars), twice, then all pairs of documents that are still in different components and
-can link by what sets them apart from the core of their family (`Join.rest`). Links inside a component can't change it,
-and nothing is capped.
+against one member of its buckets (stars), twice, then against the member nearest to the core of its family, and then all
+pairs of documents that are still in different components and can link by what sets them apart from the core
+(`Join.rest`). Links inside a component can't change it, and nothing is capped.
 
 Equal texts are folded before, and a hash of the text (`node`) stands for each, since ids may repeat or be null. Nulls and
 texts without words have an empty set and link with nothing. Rows that repeat an id are one node, linked as any of their
@@ -24,7 +24,7 @@ that links reach has an id. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import lcm
@@ -224,21 +224,36 @@ class Join:
         return self.possible(rows.join(open_, "sign", "left_semi"))
 
     def star(self, labels: DataFrame | None, turn: int) -> DataFrame:
-        """One pair for each document: with the bucket centre of another component that it shares most signatures with."""
+        """One pair for each document: with the bucket centre of another component that it shares most signatures with.
+
+        Centres are first the documents whose signatures most others have, for their size: of a group of near copies
+        those with the fewest changes, with which the others link even if they don't link with each other.
+        """
         rows = self.with_labels(labels)
-        order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
+        order = F.xxhash64("node", F.lit(turn))
+        if not turn:
+            shared = rows.join(rows.groupBy("sign").agg(F.count("*").alias("m")), "sign")
+            popular = shared.groupBy("node").agg((-F.sum("m") / F.first("n")).alias("rank"))
+            rows, order = rows.join(popular, "node"), F.struct("rank", "node")
         centres = rows.groupBy("sign").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c"))
         pairs = rows.join(centres, "sign").filter((F.col("c.label") != F.col("label")) & self.similar_sizes(F.col("n"), F.col("c.n")))
         shared = pairs.groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
         return shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
 
-    def rest(self, labels: DataFrame) -> DataFrame:
-        """All pairs of different components that can still link, of the documents whose buckets hold several.
+    def relabelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows with the components that their documents are in by now."""
+        now = labels.select("node", F.col("label").alias("now"))
+        return rows.join(now, "node", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+
+    def rest(self, labels: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        """Pairs of different components that can still link, of the documents whose buckets hold several: one for each
+        document, and a function that gives all others by the components after the first are verified.
 
         Documents joined by buckets form families. A family's core is what more than half of its sets hold, and D is
         what a set and the core don't share, so two sets differ in as many elements as their Ds do. Two sets that link
         without a common element of D also link with the member that has the smallest D for its size; others have a
-        common element among the rarest of their Ds. So a family of near copies gives few pairs beyond its true links.
+        common element among the rarest of their Ds. Most near copies link with that member, which leaves few components
+        of a family, and of two documents that share an element one is outside the largest component there.
         """
         rows = self.shelf.put(self.with_labels(labels), "open")
         centres = rows.groupBy("sign").agg(F.min("node").alias("b"))
@@ -278,26 +293,46 @@ class Join:
         nearest = every.groupBy("family").agg(F.min_by(F.struct("node", "n", "label"), F.struct(F.col("size") - share * F.col("n"), F.col("node"))).alias("z"))
         to_core = every.join(nearest, "family").filter((F.col("label") != F.col("z.label")) & self.similar_sizes(F.col("n"), F.col("z.n"))).select(F.col("node").alias("a"), F.col("z.node").alias("b"))
 
-        known = different.groupBy("family", "element").agg(F.count("*").alias("c"))
-        nth = F.row_number().over(Window.partitionBy("node").orderBy("c", "element"))
-        longest = F.floor((F.col("size") + share * F.col("n") * (1 + 100 / self.percent)) / 2 + 1 + 1e-6)
-        rare = different.join(known, ["family", "element"]).withColumn("nth", nth).filter((F.col("nth") <= longest) & (F.col("c") > 1))
-        rare = self.shelf.put(rare.select("family", "element", "node", "n", "label", "size", "nth"), "rare")
-        x, y = (rare.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "size", "nth"))) for k in "xy")
-        allowed = share * (F.col("n_x") + F.col("n_y")) + 1e-6
-        within = lambda p, q: F.col(f"nth_{p}") <= (F.col(f"size_{p}") - F.col(f"size_{q}") + allowed) / 2 + 1
-        apart_ = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-        close = x.join(y, ["family", "element"]).filter(apart_ & self.similar_sizes(F.col("n_x"), F.col("n_y")) & within("x", "y") & within("y", "x"))
-        return close.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).unionByName(to_core).distinct()
+        def others(labels: DataFrame) -> DataFrame:
+            now = self.shelf.put(self.relabelled(every.select("family", "node", "label"), labels), "now")
+            several = now.groupBy("family").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("family")
+            open_ = different.join(several, "family", "left_semi").drop("label").join(now.select("node", "label"), "node")
+            known = open_.groupBy("family", "element").agg(F.count("*").alias("c"))
+            nth = F.row_number().over(Window.partitionBy("node").orderBy("c", "element"))
+            longest = F.floor((F.col("size") + share * F.col("n") * (1 + 100 / self.percent)) / 2 + 1 + 1e-6)
+            rare = open_.join(known, ["family", "element"]).withColumn("nth", nth).filter((F.col("nth") <= longest) & (F.col("c") > 1))
+            rare = self.shelf.put(rare.select("family", "element", "node", "n", "label", "size", "nth"), "rare")
+            # A pair of two components has a document outside the element's largest one.
+            by_label = rare.groupBy("family", "element", "label").agg(F.count("*").alias("m"))
+            largest = by_label.groupBy("family", "element").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+            told = self.shelf.put(rare.join(largest.drop("k"), ["family", "element"]), "told")
+            x, y = (told.select("family", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "size", "nth", "top"))) for k in "xy")
+            allowed = share * (F.col("n_x") + F.col("n_y")) + 1e-6
+            within = lambda p, q: F.col(f"nth_{p}") <= (F.col(f"size_{p}") - F.col(f"size_{q}") + allowed) / 2 + 1
+            once = (F.col("label_y") == F.col("top_y")) | (F.col("node_x") < F.col("node_y"))
+            apart_ = (F.col("label_x") != F.col("label_y")) & once
+            x = x.filter("label_x <> top_x")
+            close = x.join(y, ["family", "element"]).filter(apart_ & self.similar_sizes(F.col("n_x"), F.col("n_y")) & within("x", "y") & within("y", "x"))
+            return close.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+        return to_core, others
 
     def linked_texts(self, stars: int = 2) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) of texts, and the components (node, label) of the texts that have any."""
         self.links: list[DataFrame] = []
         labels = None
-        for turn in range(stars + 1):
-            found = self.verified(self.star(labels, turn) if turn < stars else self.rest(labels))
+        others = None
+        for turn in range(stars + 2):
+            if turn < stars:
+                pairs = self.star(labels, turn)
+            elif turn == stars:
+                pairs, others = self.rest(labels)
+            else:
+                pairs = others(labels)
+            found = self.verified(pairs)
             self.links.append(found)
-            self.shelf.keep(self.corpus.copies, self.corpus.words, self.sizes, self.rows, self.sets, *self.links)
+            if others is None or turn > stars:  # until then the tables of rest() are read again
+                self.shelf.keep(self.corpus.copies, self.corpus.words, self.sizes, self.rows, self.sets, *self.links)
             if turn < stars or not found.isEmpty():
                 labels = components(reduce(DataFrame.unionByName, self.links))
         return reduce(DataFrame.unionByName, self.links), labels
