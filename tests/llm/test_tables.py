@@ -83,6 +83,30 @@ def test_revisits(spark, tmp_path):
     assert warc.read_back(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("layout", range(4))
+def test_repeated_page_ids(spark, layout):
+    """Ids that repeat with other payloads, null ids, payloads that hold what divides records, long ones."""
+    p, q = "P" * 1500, "Q" * 1200
+    cut = f"<p>{warc.BETWEEN}</p>" * 90
+    rows = [(7, p), (7, q), (3, p), (3, q), (9, cut), (8, cut), (None, cut), (None, "n" * 1000), (None, "n" * 1000), (1, None), (2, warc.BETWEEN), (4, "x" * 3_000_000 + warc.BETWEEN), (5, "é" * 700), (5, "é" * 700), (4, "é" * 700)]
+    rng = np.random.default_rng(layout)
+    df = spark.createDataFrame([(*rows[i], "http://a b/", "x", 1) for i in rng.permutation(len(rows))], "page_id long, html string, url string, sha1 string, original int").repartition(1 + layout)
+    path = f"{shared_dir(spark)}/warc-layout-{layout}"
+    warc.write(warc.resolve(df), path, records_per_file=[3, 100, 2, 5][layout])
+    got = sorted((tuple(r) for r in warc.read_back(spark, path).collect()), key=repr)
+    c = duckdb.connect()
+    c.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    assert got == sorted(c.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({warc.OP9_SQL})").fetchall(), key=repr)
+
+
+def test_lost_response(spark):
+    df = spark.createDataFrame([(1, "P" * 1500, "u"), (2, "P" * 1500, "u")], "page_id long, html string, url string")
+    path = f"{shared_dir(spark)}/warc-lost"
+    warc.write(warc.resolve(df).filter("original is not null"), path)
+    with pytest.raises(Exception, match="no response"):
+        warc.read_back(spark, path).collect()
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 
 
