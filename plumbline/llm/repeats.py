@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SAMPLE, Shelf, U, bit_words, flagged, mix, repeated, text_batches, whole_texts
+from plumbline.llm.common import SAMPLE, Shelf, U, bit_words, flagged, mix, repeated, whole_texts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,11 +43,27 @@ def inflated(texts: pa.Array) -> pa.Array:
     return pa.array([d.decompress(t.as_buffer()) for t in texts], pa.large_binary())
 
 
+#: Bytes of texts, and hits in them, that are worked on together; a longer text is alone.
+TEXTS, HITS = 1 << 24, 100_000
+
+
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most TEXTS bytes of unpacked text."""
+    sizes = [zstandard.frame_content_size(z.as_buffer().to_pybytes()[:18]) for z in batch.column("ztext")]
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > TEXTS:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 class Corpus:
     """Documents with equal texts folded: `copies` has (k1, k2, first, n) of each text that occurs more than once."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        text_batches(docs.sparkSession)
         self.rows = keyed(docs, id_col, text_col)
         groups = self.rows.select("doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
         self.shelf = Shelf(docs.sparkSession)
@@ -85,21 +101,22 @@ class Corpus:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, 128):
-                    batch = whole.slice(start, 128)
+                for batch in by_size(whole):
                     texts = inflated(batch.column("ztext"))
                     hit = batch.column("hits")
                     each = np.diff(np.asarray(hit.offsets))
                     flat = hit.flatten()
-                    get = lambda n, flat=flat: flat.field(n).to_numpy(zero_copy_only=False)
-                    doc = np.repeat(np.arange(batch.num_rows), each)
-                    pos, size, fp, salts = get("pos").astype(np.int64), get("size").astype(np.int64), get("fp"), get("salts")
-                    k1 = batch.column("k1").to_numpy()[doc]
-                    keep, columns = cut(texts, doc, pos, size)
-                    salt = (mix(k1.view(U) + pos.view(U)) % salts.astype(U)).astype(np.int64)
-                    ids = batch.column("doc_id").take(pa.array(doc[keep]))
-                    fp, salt, salts, k1, pos, size = (pa.array(x[keep]) for x in (fp, salt, salts, k1, pos, size))
-                    yield pa.RecordBatch.from_arrays([fp, salt, salts, ids, k1, pos, size, *columns], names=names)
+                    every = np.repeat(np.arange(batch.num_rows), each)
+                    for at in range(0, len(every), HITS):
+                        part, doc = flat.slice(at, HITS), every[at : at + HITS]
+                        get = lambda n, part=part: part.field(n).to_numpy(zero_copy_only=False)
+                        pos, size, fp, salts = get("pos").astype(np.int64), get("size").astype(np.int64), get("fp"), get("salts")
+                        k1 = batch.column("k1").to_numpy()[doc]
+                        keep, columns = cut(texts, doc, pos, size)
+                        salt = (mix(k1.view(U) + pos.view(U)) % salts.astype(U)).astype(np.int64)
+                        ids = batch.column("doc_id").take(pa.array(doc[keep]))
+                        fp, salt, salts, k1, pos, size = (pa.array(x[keep]) for x in (fp, salt, salts, k1, pos, size))
+                        yield pa.RecordBatch.from_arrays([fp, salt, salts, ids, k1, pos, size, *columns], names=names)
 
         return packed(self.distinct()).drop("k2").join(hits, "k1").select("doc_id", "k1", "ztext", "hits").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 

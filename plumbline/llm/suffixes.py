@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by external induced sorting of sampled suffixes.
+"""Removal of repeated byte strings by induced sorting of sampled suffixes.
 
 A suffix array of all bytes would take many times the corpus on disk, so only suffixes that can matter are sorted. In
 every string of `length` bytes the smallest hash among its `GRAM`-byte substrings marks an anchor (equal strings mark
@@ -9,9 +9,14 @@ prefix) in the present order into a priority queue by byte and popping it; the c
 the minimum in between. After o steps, neighbours with `length` bytes in common are equal strings that start o bytes
 before their anchors. Suffixes that can't reach `length` any more leave the queue.
 
-A shard is held in memory, so shards are kept small: the suffixes at a frequent anchor are first sorted in parts, and what
-is left of them is split, where it is still too much, by the bytes that all strings of a range of offsets share; halving
-the range ends with single offsets, at which equal bytes are equal strings and nothing is left to sort.
+Shards are small and in memory, not external: some 20,000 suffixes of at most 327 bytes (7 MB), and there is one level of
+induction. The suffixes at a frequent anchor are first sorted in parts, and what is left of them is split, where it is
+still too much, by the bytes that all strings of a range of offsets share; halving the range ends with single offsets,
+at which equal bytes are equal strings and nothing is left to sort.
+
+Long periodic stretches (runs of one byte, rules, repeated lines of up to 128 bytes) repeat themselves, so they are
+removed as intervals, and only the strings of their first period take part in the sorting. Texts of more than 4 MB are
+taken in pieces that overlap by a string.
 
 Nulls and texts of fewer than `length` bytes lose nothing. Documents with equal texts are folded: each loses everything.
 Rows that repeat an id with another text are documents of their own; a row repeated wholly counts as a copy. Extra
@@ -30,40 +35,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BASES, U, buffers, gram_hashes, slices, table_of, union
+from plumbline.llm.common import BASES, U, buffers, gram_hashes, mix, slices, table_of, union
 from plumbline.llm.repeats import Corpus
 
 LENGTH, GRAM = 200, 73
-#: Bits of an anchor's key that hold its place in a slice.
-PLACE = U(27)
+#: Bits of an anchor's key that hold its place in a slice; slices are at most SLICE bytes and a string.
+PLACE, SLICE = U(27), 1 << 22
+
+
+def reached(data: np.ndarray, at: int, period: int, low: int, high: int) -> tuple[int, int]:
+    """The maximal stretch of data[low:high] around data[at:at + period] in which bytes a period apart are equal."""
+    end, step = at + period, 1024
+    while end < high:
+        n = min(step, high - end)
+        differ = data[end : end + n] != data[end - period : end - period + n]
+        k = int(differ.argmax())
+        if differ[k]:
+            end += k
+            break
+        end, step = end + n, step * 2
+    start, step = at, 1024
+    while start > low:
+        n = min(step, start - low)
+        differ = (data[start - n : start] != data[start - n + period : start + period])[::-1]
+        k = int(differ.argmax())
+        if differ[k]:
+            start -= k
+            break
+        start, step = start - n, step * 2
+    return start, end
+
+
+def stretches(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """(start, end, period) of long periodic stretches inside texts: anchors of one hash a constant distance apart tell them.
+
+    In a stretch of length + 2 * period bytes or more, every string of `length` bytes starts at two places.
+    """
+    gap = np.diff(at)
+    if not len(gap):
+        return np.zeros((0, 3), np.int64)
+    same = (h[at[1:]] == h[at[:-1]]) & (gap <= length)
+    new = np.append(True, (gap[1:] != gap[:-1]) | ~same[1:] | ~same[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(gap))
+    found, done = [], 0
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        p = int(gap[i])
+        if same[i] and p * (j - i) >= 2 * length and at[i] >= done:
+            text = int(np.searchsorted(bounds, at[i], "right")) - 1
+            start, end = reached(data, int(at[i]), p, int(bounds[text]), int(bounds[text + 1]))
+            if end - start >= length + 2 * p:
+                found.append((start, end, p))
+                done = end - length
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes of all grams, periodic stretches) of some texts.
+
+    Of a periodic stretch only the strings that start in its first period or leave it at its end keep their anchors: all
+    others equal one in the first period, so the cost of a stretch doesn't grow with its length.
+    """
+    reach = length - gram + 1  # grams in a string
+    h = gram_hashes(table_of(0)[data], gram, BASES[0])
+    low = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=U)
+    covered = 1
+    while covered < reach:
+        step = min(covered, reach - covered)
+        np.minimum(low[:-step], low[step:], out=low[:-step])
+        covered += step
+    starts = np.zeros(len(data) + 1, np.int64)
+    long = np.diff(offsets) >= length
+    np.add.at(starts, offsets[:-1][long], 1)
+    np.add.at(starts, offsets[1:][long] - length + 1, -1)
+    inside = np.cumsum(starts)[: len(low)] > 0
+    places = lambda: np.unique(low[np.flatnonzero(inside)] & U((1 << int(PLACE)) - 1)).astype(np.int64)
+    at = places()
+    periodic = stretches(data, offsets, at, h, length)
+    for start, end, period in periodic.tolist():
+        inside[start + period : end - length + 1] = False
+    return places() if len(periodic) else at, h, periodic
 
 
 def byte_anchors(length: int, gram: int):
-    """(fp, k1, pos, size) of the smallest gram of every string of `length` bytes."""
-    reach = length - gram + 1  # grams in a string
+    """(fp, k1, pos, size) of the smallest gram of every string of `length` bytes.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    A periodic stretch is a pair of rows with a hash of their own and the stretch's length, negated, as size.
+    """
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(bytes, offsets of texts, their keys, place in the text) of slices; long texts overlap by a string."""
         for part in slices(batch, 3):
             data, offsets = buffers(part.column(3))
+            k1 = part.column(1).to_numpy()
+            if len(data) <= SLICE or len(offsets) > 2:
+                yield data, offsets, k1, 0
+                continue
+            for start in range(0, len(data) - length + 1, SLICE):
+                piece = data[start : start + SLICE + length - 1]
+                yield piece, np.array([0, len(piece)]), k1, start
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for data, offsets, k1, start in parts(batch):
             if len(data) < length:
                 continue
-            h = gram_hashes(table_of(0)[data], gram, BASES[0])
-            low = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=U)
-            covered = 1
-            while covered < reach:
-                step = min(covered, reach - covered)
-                np.minimum(low[:-step], low[step:], out=low[:-step])
-                covered += step
-            inside = np.zeros(len(data) + 1, np.int64)
-            long = np.diff(offsets) >= length
-            np.add.at(inside, offsets[:-1][long], 1)
-            np.add.at(inside, offsets[1:][long] - length + 1, -1)
-            at = np.unique(low[np.flatnonzero(np.cumsum(inside)[: len(low)])] & U((1 << int(PLACE)) - 1)).astype(np.int64)
+            at, h, periodic = anchors(data, offsets, length, gram)
             doc = np.searchsorted(offsets, at, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array(part.column(1).to_numpy()[doc]), pa.array((at - offsets[doc]).astype(np.int32)), pa.array(np.full(len(at), gram, np.int32))],
-                names=["fp", "k1", "pos", "size"],
-            )
+            of = np.searchsorted(offsets, periodic[:, 0], "right") - 1
+            pos, stretch = at - offsets[doc] + start, periodic[:, 0] - offsets[of] + start
+            size = periodic[:, 1] - periodic[:, 0]
+            own = mix(mix(k1[of].view(U) + stretch.view(U)) + size.view(U)).view(np.int64)
+            columns = (h[at].view(np.int64), own, own), (k1[doc], k1[of], k1[of]), (pos, stretch, stretch), (np.full(len(at), gram), -size, -size)
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)], names=["fp", "k1", "pos", "size"])
 
     return run
 
@@ -75,9 +159,10 @@ def surroundings(length: int, gram: int):
         data, offsets = buffers(texts)
         at = offsets[doc] + pos
         a, b = np.maximum(at - (length - gram), offsets[doc]), np.minimum(at + length, offsets[doc + 1])
-        raw = data.tobytes()
+        b = np.where(size < 0, a, b)  # a periodic stretch needs none
+        raw = memoryview(data)
         ok = (pos >= 0) & (at + gram <= offsets[doc + 1])
-        rows = [raw[x:y] for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
+        rows = [bytes(raw[x:y]) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
         return ok, [pa.array(rows, pa.binary()), pa.array((at - a)[ok], pa.int64())]
 
     return cut
@@ -210,7 +295,7 @@ def equal_strings(length: int, gram: int):
     reach = length - gram + 1
 
     def judge(table: pa.Table):
-        pos, n_before = (table.column(c).combine_chunks().to_numpy() for c in ("pos", "n_before"))
+        pos, size, n_before = (table.column(c).combine_chunks().to_numpy() for c in ("pos", "size", "n_before"))
         around = table.column("around").to_pylist()
         n = len(around)
         cuts = n_before.tolist()
@@ -226,9 +311,11 @@ def equal_strings(length: int, gram: int):
         # Strings of a row: those that have o bytes before the anchor and the rest behind it.
         strings = np.maximum(np.minimum(n_before, length - gram) - np.maximum(length - n_after, 0) + 1, 0)
         row, o = np.nonzero(found)
-        starts = pos[row] - o
-        far = int(pos.max(initial=0)) + 2 * length
-        s, e = union(row * far + starts, row * far + starts + length)
+        stretch = np.flatnonzero(size < 0)
+        starts, ends = np.append(pos[row] - o, pos[stretch]), np.append(pos[row] - o + length, pos[stretch] - size[stretch])
+        row = np.append(row, stretch)
+        far = int(ends.max(initial=0)) + 2 * length
+        s, e = union(row * far + starts, row * far + ends)
         rows = s // far
         return rows, s - rows * far, e - rows * far, np.flatnonzero(later < strings)
 
