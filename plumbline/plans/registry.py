@@ -24,4 +24,4 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from plumbline.plans import aggregates, comparisons, experiments, selections, texts  # noqa: E402, F401
+from plumbline.plans import aggregates, comparisons, experiments, selections, streams, texts  # noqa: E402, F401
