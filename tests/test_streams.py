@@ -140,7 +140,7 @@ def test_replayed_batches_count_once(spark, tmp_path):
 
 def test_step_metrics_in_a_stream(spark, tmp_path):
     answers = streams.answers_of(spark.read.parquet(f"{SF}/events.parquet")).drop("batch").withColumn("n", F.col("group_id"))
-    stream = in_batches(spark, answers, [50, 100], f"{tmp_path}/in", "n")
+    stream = in_batches(spark, answers, [5, 10], f"{tmp_path}/in", "n")
     sink = steps.StepMetrics(f"{tmp_path}/steps")
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(300)
     last = steps.totals(spark, f"{tmp_path}/steps").filter("scope = 'agg' and subset = 'all'").orderBy(F.desc("batch")).first()
