@@ -32,7 +32,7 @@ def conformity(metas: DataFrame, answers: DataFrame, ends: DataFrame, expected:
         F.count_if(~F.coalesce(F.col("tier").isin(*tiers), F.lit(False))).alias("strays"),
         *counts,
     )
-    end = ends.groupBy("run_id").agg(F.last("status").alias("status"))
+    end = ends.select("run_id", "status")
     rows = metas.join(per_run, "run_id", "left").join(end, "run_id", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     rules = {f"{name} is not {expected[name]}": ~F.col(name).eqNullSafe(F.lit(expected[name])) for name in PLAIN if name in expected}

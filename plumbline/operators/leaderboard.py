@@ -37,7 +37,7 @@ def completeness(runs: Runs) -> DataFrame:
     keys = ["run_id", "tier", "spec_id", "rollout"]
     off = selection.coverage(planned, runs.answers, keys).groupBy("run_id", "tier").agg(F.count_if(F.col("problem") == "missing").alias("missing"), F.count_if(F.col("problem") == "extra").alias("extra"))
     twice = selection.duplicates(runs.answers, keys).groupBy("run_id", "tier").agg(F.sum("excess").alias("repeated"))
-    status = runs.ends.groupBy("run_id").agg(F.last("status").alias("status"))
+    status = runs.ends.select("run_id", "status")
     rows = tiers.select("run_id", "tier").unionByName(runs.answers.select("run_id", "tier")).distinct()
     rows = rows.join(off, ["run_id", "tier"], "left").join(twice, ["run_id", "tier"], "left").join(status, "run_id", "left").fillna(0, ["missing", "extra", "repeated"])
     rules = {"missing answers": F.col("missing") > 0, "extra answers": F.col("extra") > 0, "repeated answers": F.col("repeated") > 0, "interrupted or still running": F.col("status").isNull(), "not complete": F.col("status") != "complete"}

@@ -137,7 +137,7 @@ def screening(runs: Runs) -> DataFrame:
 
     Refused if a run has no end record, or its last one isn't complete.
     """
-    status = runs.ends.groupBy("run_id").agg(F.last("status").alias("status"))
+    status = runs.ends.select("run_id", "status")
     bad = runs.metas.select("run_id").join(status.filter("status = 'complete'"), "run_id", "left_anti")
     if not bad.isEmpty():
         raise selection.Refused("a screening run is not marked complete")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import degenerate
@@ -24,29 +25,66 @@ test_split struct<seed:long,sha256:string>, hints_source string, extra_body stri
 END = "status string, written int, planned int, spent_usd double, unknown_cost_calls int, truncated int, degenerate int"
 
 
+#: Parts of a run that `write_run` lays down, one folder each.
+PARTS = ("meta", "answers", "end")
+
+
 @dataclass
 class Runs:
+    """metas and ends have one row per run."""
+
     metas: DataFrame
     answers: DataFrame
     ends: DataFrame
 
 
-def scan(spark: SparkSession, paths: str | Sequence[str]) -> Runs:
-    """Files split by the keys that each line has; a run id in two files is refused, blank lines are skipped.
+def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, at, line, keys) of every line that isn't blank; at orders the lines of a file.
 
-    Answers and ends belong to the run whose metadata stands in the same file.
+    A file is read in blocks; within one, Spark numbers the lines in their order. A run that was written in parts counts
+    as one file, of which the metadata come first and the end last.
+    """
+    part = F.regexp_extract("_metadata.file_path", f"/part=({'|'.join(PARTS)})/[^/]+$", 1)
+    raw = spark.read.option("recursiveFileLookup", True).text(paths).select(
+        F.regexp_replace("_metadata.file_path", f"/part=({'|'.join(PARTS)})/[^/]+$", "").alias("file"),
+        F.struct(F.when(part == "end", 2).when(part == "answers", 1).otherwise(0).alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+        F.col("value").alias("line"),
+    )
+    return raw.filter("trim(line) <> ''").withColumn("keys", F.json_object_keys("line"))
+
+
+def scan(spark: SparkSession, paths: str | Sequence[str], last: bool = False) -> Runs:
+    """Runs by the keys that each line has: metadata, end records and answers; blank lines are skipped.
+
+    Answers belong to the run that they name, or else to that of the metadata before them in their file; an end belongs
+    to the metadata before it, and the last one of a run counts. A run id that two metadata lines have is refused, since
+    its answers would be counted twice. With `last`, a file is one run whatever it says: its last metadata and its last
+    end count, and all of its answers.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
-    keys = lines.withColumn("keys", F.json_object_keys("line"))
+    keys = lines(spark, paths)
     has = lambda k: F.coalesce(F.array_contains("keys", k), F.lit(False))
-    metas = keys.filter(has("meta")).select("file", F.from_json(F.get_json_object("line", "$.meta"), META).alias("m")).select("file", "m.*")
-    twice = metas.groupBy("run_id").agg(F.count_distinct("file").alias("files")).filter("files > 1").limit(3).collect()
-    if twice:
-        raise Refused(f"run ids in several files: {', '.join(str(r['run_id']) for r in twice)}")
-    of_file = metas.select("file", "run_id", F.col("max_tokens").alias("run_max_tokens"))
-    answers = keys.filter(has("tier")).select("file", "keys", F.from_json("line", ANSWER).alias("a")).select("file", F.col("keys").alias("present"), "a.*")
-    ends = keys.filter(has("end")).select("file", F.from_json(F.get_json_object("line", "$.end"), END).alias("e")).select("file", "e.*")
-    return Runs(with_defaults(metas), normalised(answers.join(of_file, "file", "left")), ends.join(of_file.select("file", "run_id"), "file", "left"))
+    metas = keys.filter(has("meta")).select("file", "at", F.from_json(F.get_json_object("line", "$.meta"), META).alias("m"))
+    if last:
+        metas = metas.groupBy("file").agg(F.max_by("m", "at").alias("m")).select("file", "m.*", F.lit(None).alias("_from"), F.lit(None).alias("_to"))
+    else:
+        metas = metas.select("file", "m.*", F.col("at").alias("_from"), F.lead("at").over(Window.partitionBy("file").orderBy("at")).alias("_to"))
+        twice = metas.groupBy("run_id").agg(F.count("*").alias("n")).filter("n > 1").limit(3).collect()
+        if twice:
+            raise Refused(f"run ids in several files or lines: {', '.join(str(r['run_id']) for r in twice)}")
+    of = metas.select(F.col("file").alias("_file"), F.col("run_id").alias("_run"), F.col("max_tokens").alias("run_max_tokens"), "_from", "_to")
+    here = F.col("file") == F.col("_file")
+    if not last:
+        here &= (F.col("at") > F.col("_from")) & (F.col("_to").isNull() | (F.col("at") < F.col("_to")))
+    answers = keys.filter(has("tier") & ~has("meta") & ~has("end")).select("file", "at", "keys", F.from_json("line", f"run_id string, {ANSWER}").alias("a"))
+    answers = answers.select("file", "at", F.col("keys").alias("present"), "a.*").join(of, here, "left")
+    owner = F.col("_run") if last else F.coalesce("run_id", "_run")
+    answers = answers.withColumn("run_id", owner).drop("_file", "_run", "_from", "_to", "at")
+    if not last:  # an answer that names another run has that run's limits
+        limits = metas.select("run_id", F.col("max_tokens").alias("_limit"))
+        answers = answers.join(limits, "run_id", "left").withColumn("run_max_tokens", F.coalesce("_limit", "run_max_tokens")).drop("_limit")
+    ends = keys.filter(has("end") & ~has("meta")).select("file", "at", F.from_json(F.get_json_object("line", "$.end"), END).alias("e")).join(of, here)
+    ends = ends.groupBy(F.col("_run").alias("run_id")).agg(F.max_by(F.struct("file", "e"), "at").alias("l")).select("run_id", "l.file", "l.e.*")
+    return Runs(with_defaults(metas.drop("_from", "_to")), normalised(answers), ends)
 
 
 def with_defaults(metas: DataFrame) -> DataFrame:
@@ -66,9 +104,32 @@ def normalised(answers: DataFrame) -> DataFrame:
     return out.withColumns({"is_loop": F.col("truncated") & F.col("degenerate"), "cut_off": F.col("truncated") & ~F.col("degenerate")}).drop("present")
 
 
-def write_run(rows: DataFrame, path: str) -> None:
-    """A run's lines as text; an existing run is never overwritten."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(path)
+def write_run(meta: dict, answers: DataFrame, path: str, status: str = "complete") -> None:
+    """A run as text below path: its metadata, its answers, and, whatever happens to them, an end record.
+
+    A run that exists is never overwritten. Tasks commit their answers together, so a failed job leaves none and the end
+    says "interrupted"; where the driver is killed there is no end, and readers find the run interrupted or running.
+    """
+    spark = answers.sparkSession
+    line = lambda **x: spark.createDataFrame([(json.dumps(x),)], "value string").coalesce(1).write.mode("errorifexists")
+    line(meta=meta).text(f"{path}/part=meta")
+    said = "interrupted"
+    try:
+        answers.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(f"{path}/part=answers")
+        said = status
+    finally:
+        line(end={"status": said, **(totals(spark, path) if said == status else {"written": 0})}).text(f"{path}/part=end")
+
+
+def totals(spark: SparkSession, path: str) -> dict:
+    """What an end record says of the answers that were written."""
+    rows = spark.read.text(f"{path}/part=answers").select(F.from_json("value", "cost_usd double, api_error string, truncated boolean, degenerate boolean").alias("a")).select("a.*")
+    flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    row = rows.agg(
+        F.count("*").alias("written"), F.coalesce(F.round(F.sum("cost_usd"), 6), F.lit(0.0)).alias("spent_usd"),
+        F.count_if(F.col("cost_usd").isNull()).alias("unknown_cost_calls"), flag(F.col("truncated")).alias("truncated"), flag(F.col("degenerate")).alias("degenerate"),
+    ).first()
+    return row.asDict()
 
 
 def rescored(answers: DataFrame, scores: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -95,9 +156,13 @@ def histograms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """manifest (file, sha256) with `state`: as stored, CRLF (equal after line ends are made CRLF), mismatch or missing."""
+    """manifest (file, sha256) with `state`: as stored, CRLF (equal after line ends are made CRLF), mismatch or missing.
+
+    file is the path below root.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.regexp_extract("path", "([^/]+)$", 1)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    name = F.substring_index("path", f"{top}/", -1)
     crlf = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n"), "\n", "\r\n")
     hashes = files.select(name.alias("file"), F.sha2("content", 256).alias("stored"), F.sha2(F.encode(crlf, "UTF-8"), 256).alias("crlf"))
     state = F.when(F.col("stored").isNull(), "missing").when(F.col("stored") == F.col("sha256"), "as stored").when(F.col("crlf") == F.col("sha256"), "CRLF").otherwise("mismatch")

@@ -44,6 +44,75 @@ def test_duplicate_run_is_refused(spark, tmp_path):
         source.scan(spark, str(tmp_path))
 
 
+def write_lines(path, *records):
+    path.write_text("\n".join(map(json.dumps, records)) + "\n")
+
+
+def answer(spec, **more):
+    return {"tier": "L1", "spec_id": spec, "rollout": 0, "reward": 1.0, **more}
+
+
+def test_last_metadata_and_end_win(spark, tmp_path):
+    """A file that was begun twice is one run: nothing is doubled, and the order of lines decides."""
+    meta = lambda run, tokens: {"meta": {"run_id": run, "model": "m", "max_tokens": tokens}}
+    end = lambda status: {"end": {"status": status}}
+    write_lines(tmp_path / "a.jsonl", meta("r", 5), end("stopped"), answer("x"), meta("r", 9), answer("y"), end("complete"))
+    write_lines(tmp_path / "b.jsonl", meta("s", 5), answer("x"), end("complete"), end("budget"))
+    runs = source.scan(spark, str(tmp_path), last=True)
+    assert sorted((r.run_id, r.max_tokens) for r in runs.metas.collect()) == [("r", 9), ("s", 5)]
+    assert sorted((r.run_id, r.spec_id, r.run_max_tokens) for r in runs.answers.collect()) == [("r", "x", 9), ("r", "y", 9), ("s", "x", 5)]
+    assert {r.run_id: r.status for r in runs.ends.collect()} == {"r": "complete", "s": "budget"}
+    with pytest.raises(Refused):
+        source.scan(spark, str(tmp_path))
+
+
+def test_several_runs_in_a_file(spark, tmp_path):
+    meta = lambda run, tokens: {"meta": {"run_id": run, "model": "m", "max_tokens": tokens}}
+    write_lines(tmp_path / "a.jsonl", {"end": {"status": "lost"}}, meta("r", 5), answer("x"), answer("z", run_id="s"), {"end": {"status": "complete"}}, meta("s", 9), answer("y"), answer("w", run_id="r"))
+    runs = source.scan(spark, str(tmp_path))
+    assert sorted((r.run_id, r.spec_id, r.run_max_tokens) for r in runs.answers.collect()) == [("r", "w", 5), ("r", "x", 5), ("s", "y", 9), ("s", "z", 9)]
+    assert {r.run_id: r.status for r in runs.ends.collect()} == {"r": "complete"}
+
+
+def test_long_files_keep_their_order(spark, tmp_path):
+    """Many blocks of one file: the last end is that of the last line."""
+    records = [{"meta": {"run_id": "r", "model": "m", "max_tokens": 5}}]
+    for n in range(3000):
+        records += [answer(f"s{n}", completion="x" * 200), {"end": {"status": f"at {n:04d}"}}]
+    write_lines(tmp_path / "a.jsonl", *records)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        runs = source.scan(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert [r.status for r in runs.ends.collect()] == ["at 2999"] and runs.answers.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_written_runs(spark, tmp_path):
+    meta = {"run_id": "r", "model": "m", "max_tokens": 5, "rollouts": 1, "planned": {"tiers": ["L1"], "spec_ids": ["a", "b"], "rollouts": 1, "total": 2}}
+    rows = spark.createDataFrame([("r", "L1", "a", 0, 1.0, True, None, 0.25, True), ("r", "L1", "b", 0, 0.5, True, "TimeoutError: x", None, False)], "run_id string, tier string, spec_id string, rollout int, reward double, built boolean, api_error string, cost_usd double, truncated boolean").repartition(2)
+    path = f"{tmp_path}/runs/r.jsonl"
+    source.write_run(meta, rows, path)
+    runs = source.scan(spark, f"{tmp_path}/runs")
+    assert {r.spec_id: (r.run_id, r.reward, r.api_error) for r in runs.answers.collect()} == {"a": ("r", 1.0, None), "b": ("r", 0.5, "TimeoutError: x")}
+    end = runs.ends.first()
+    assert (end.status, end.written, end.spent_usd, end.unknown_cost_calls, end.truncated) == ("complete", 2, 0.25, 1, 1)
+    assert [r.problems for r in leaderboard.completeness(runs).collect()] == [[]]
+    with pytest.raises(Exception, match="exists"):
+        source.write_run(meta, rows, path)
+    assert source.scan(spark, f"{tmp_path}/runs").ends.first().status == "complete"
+    # A job that fails leaves no answers and says so; a killed driver leaves no end.
+    bad = rows.withColumn("reward", F.when(F.col("spec_id") == "b", F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("reward")))
+    with pytest.raises(Exception, match="broken"):
+        source.write_run({**meta, "run_id": "q"}, bad, f"{tmp_path}/failed/q.jsonl")
+    failed = source.scan(spark, f"{tmp_path}/failed")
+    assert failed.ends.first().status == "interrupted" and failed.answers.count() == 0
+    (tmp_path / "runs/r.jsonl/part=end").rename(tmp_path / "gone")
+    killed = source.scan(spark, f"{tmp_path}/runs")
+    assert [r.problems for r in leaderboard.completeness(killed).collect()] == [["interrupted or still running"]]
+
+
 def test_presence_is_not_null(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text(
         "\n".join(
@@ -102,6 +171,10 @@ def test_manifest_and_links(spark, tmp_path):
 
     (tmp_path / "a.txt").write_bytes(b"x\ny\n")
     digest = lambda b: hashlib.sha256(b).hexdigest()
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/a.txt").write_bytes(b"other")
+    same = spark.createDataFrame([("e/a.txt", digest(b"other")), ("a.txt", digest(b"other"))], "file string, sha256 string")
+    assert {r.file: r.state for r in source.verify_manifest(spark, same, str(tmp_path)).collect()} == {"e/a.txt": "as stored", "a.txt": "mismatch"}
     manifest = spark.createDataFrame([("a.txt", digest(b"x\ny\n")), ("b.txt", "0")], "file string, sha256 string")
     assert {r.file: r.state for r in source.verify_manifest(spark, manifest, str(tmp_path)).collect()} == {"a.txt": "as stored", "b.txt": "missing"}
     crlf = spark.createDataFrame([("a.txt", digest(b"x\r\ny\r\n"))], "file string, sha256 string")
