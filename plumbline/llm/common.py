@@ -273,3 +273,11 @@ def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each int64 value's bit is set; bits: np.frombuffer(bitmap(...), np.uint64)."""
     at = np.mod(values.astype(np.int64), len(bits) * 64).astype(U)
     return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than the default, for results that are read after an operator returns: rows that hold
+    texts are large. A session that has set its own number keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import whole_texts
+from plumbline.llm.common import slices, whole_texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -236,9 +236,10 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [model.encode(t) for t in batch.column(1).to_pylist()]
-            decoded = [model.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            for part in slices(batch, 1):
+                ids = [model.encode(t) for t in part.column(1).to_pylist()]
+                decoded = [model.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return whole_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
