@@ -50,8 +50,18 @@ def number_after(text: Column, label: str) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """80.0 as 80, 6.5 as 6.5."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A number as "%g" writes it: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6 on.
+
+    Ties are those of the shortest decimal form, rounded up, where C looks at the exact binary value.
+    """
+    x = x.cast("double")
+    digits = F.format_string("%.5e", x)  # d.ddddde+xx, rounded as %g rounds
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+    fixed = F.coalesce(*(F.when(power == p, F.format_string(f"%.{5 - p}f", x)) for p in range(-4, 6)))
+    finite = F.when((power < -4) | (power > 5), plain(digits)).otherwise(plain(fixed))
+    sign = F.when(x < 0, "-inf").otherwise("inf")
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), sign).otherwise(finite)
 
 
 # Fixed values of the loop detector.
@@ -65,7 +75,9 @@ def degenerate(text: Column) -> Column:
     blank = F.char_length(solid) <= (1 - BLANK_SHARE) * F.char_length(tail)
     stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     lines = F.filter(F.transform(F.split(tail, r"\r\n|\n|\r"), stripped), lambda x: F.char_length(x) >= LINE_LENGTH)
-    often = F.exists(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= TIMES)
+    ordered = F.array_sort(lines)  # a line that comes TIMES times stands TIMES - 1 places before itself
+    pairs = F.greatest(F.size(ordered) - (TIMES - 1), F.lit(0))
+    often = F.exists(F.zip_with(F.slice(ordered, F.lit(1), pairs), F.slice(ordered, F.lit(TIMES), pairs), lambda x, y: x == y), lambda same: same)
     probe = F.substring(F.regexp_replace(tail, r"\s+$", ""), -PROBE, PROBE)
     repeats = (F.char_length(tail) - F.char_length(F.replace(tail, probe, F.lit("")))) / F.nullif(F.char_length(probe), F.lit(0))
     loop = (F.char_length(F.regexp_replace(probe, r"\s", "")) >= PROBE_SOLID) & (repeats >= TIMES)

@@ -37,9 +37,12 @@ def gate_failures(answers: DataFrame, by: Sequence[str], gates: Sequence[str], b
 
 def first_passing(rows: DataFrame, tier: str, numbers: dict[str, int], passed: Column, order: Sequence[str]) -> DataFrame:
     """The first passing rows of each tier by `order`, as many as numbers says; other tiers have none."""
+    if not numbers:
+        return rows.limit(0)
     wanted = F.coalesce(*(F.when(F.col(tier) == t, F.lit(n)) for t, n in numbers.items()))
     ranked = rows.filter(passed & F.col(tier).isin(*numbers)).withColumn("_r", F.row_number().over(Window.partitionBy(tier).orderBy(*order)))
-    return ranked.filter(F.col("_r") <= wanted).drop("_r")
+    # The largest number is a literal, so each task keeps only so many rows of a tier before they are shuffled.
+    return ranked.filter(F.col("_r") <= max(numbers.values())).filter(F.col("_r") <= wanted).drop("_r")
 
 
 def cheapest(models: DataFrame, calls: int, input_tokens: float, output_tokens: Column, k: int, most: float | None = None) -> DataFrame:

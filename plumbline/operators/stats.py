@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranks import numbered
+
 
 def two_level_mean(df: DataFrame, outer: Sequence[str], inner: Sequence[str], value: Column, name: str) -> DataFrame:
     """Mean by (outer, inner), then the mean of these by outer, with their number n."""
@@ -24,13 +27,6 @@ def index_percentile(values: Column, q: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), F.least(n, F.floor(n * F.lit(q)).cast("int") + 1)))
 
 
-def index_percentile_by(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """The same percentile of large groups, by rank in a window instead of an array."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.filter(F.col("r") == F.least("n", F.floor(F.col("n") * q) + 1)).select(*by, F.col(value).alias(name))
-
-
 def advantages(df: DataFrame, group: Sequence[str], reward: str) -> DataFrame:
     """df with `advantage`: the reward less its group's mean."""
     return df.withColumn("advantage", F.col(reward) - F.avg(reward).over(Window.partitionBy(*group)))
@@ -91,22 +87,43 @@ def picks(n: int) -> tuple[int, int]:
     return int(0.025 * n), int(0.975 * n) - 1
 
 
-def hashed_index(seed: int, draw: str, pick: str, n: str) -> Column:
+def hashed_place(seed: int, draw: Column, pick: Column, n: Column) -> Column:
     """The cluster that a draw's pick takes: 32 bits of an md5, modulo the number of clusters."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(draw), F.col(pick))), 1, 8), 16, 10).cast("long") % F.col(n)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), draw, pick)), 1, 8), 16, 10).cast("long") % n
+
+
+#: Clusters in all whose values may be broadcast, as one array a group (16 MB).
+TOGETHER = 1_000_000
 
 
-def cluster_draws(clusters: DataFrame, by: Sequence[str], order: str, value: str, draws: int, seed: int, name: str = "mean", size: Column | None = None) -> DataFrame:
+def cluster_draws(clusters: DataFrame, by: Sequence[str], order: str, value: str, draws: int, seed: int, name: str = "mean", size: int | None = None, together: int = TOGETHER) -> DataFrame:
     """(by, draw, name): means of clusters resampled with replacement, as many as there are (or `size`).
 
-    clusters holds one row per cluster; it is numbered within by, so (by, index) joins pick to cluster.
+    clusters holds one row per cluster, with a number as `order`; a pick takes a cluster by its place in that order. Where
+    the clusters are few, which is checked, each draw looks its picks up in the array of its group's values: picks are
+    never rows. Larger groups are numbered, and picks counted by (draw, place) before they meet the values.
     """
-    w = Window.partitionBy(*by)
-    indexed = clusters.select(*by, value, (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("index"))
     counts = clusters.groupBy(*by).agg(F.count("*").alias("n"))
-    rows = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", F.explode(F.sequence(F.lit(0).cast("long"), (size if size is not None else F.col("n")) - 1)))
-    chosen = rows.withColumn("index", hashed_index(seed, "draw", "pick", "n")).drop("n", "pick")
-    return chosen.join(indexed, [*by, "index"]).groupBy(*by, "draw").agg(F.avg(value).alias(name))
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    if (counts.agg(F.sum("n").alias("n")).first().n or 0) <= together:
+        values = clusters.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("c"))
+        values = values.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("c.v").alias("v"), F.size("c").cast("long").alias("n"))
+        picks = F.sequence(F.lit(0).cast("long"), (F.lit(size).cast("long") if size is not None else F.col("n")) - 1)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
+
+        def add(acc: Column, pick: Column) -> Column:
+            v = F.get("v", hashed_place(seed, F.col("draw"), pick, F.col("n")).cast("int"))
+            return F.struct((acc["sum"] + F.coalesce(v, F.lit(0.0))).alias("sum"), (acc["k"] + F.when(v.isNull(), 0).otherwise(1)).alias("k"))
+
+        turns = counts.select(*by, draw).repartition(*by, "draw")
+        same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by))
+        mean = F.reduce(picks, start, add, lambda acc: F.when(acc["k"] > 0, acc["sum"] / acc["k"]))
+        return turns.join(F.broadcast(values), same).select(*by, "draw", mean.alias(name))
+    indexed = numbered(clusters.select(*by, order, value), by, order, "index").drop(order)
+    rows = counts.select(*by, "n", draw).withColumn("pick", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(size).cast("long") if size is not None else F.col("n")) - 1)))
+    chosen = rows.withColumn("index", hashed_place(seed, F.col("draw"), F.col("pick"), F.col("n"))).groupBy(*by, "draw", "index").agg(F.count("*").alias("times"))
+    met = chosen.join(indexed, [*by, "index"]).filter(F.col(value).isNotNull())
+    return met.groupBy(*by, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias(name))
 
 
 def interval(draws: DataFrame, by: Sequence[str], n: int, name: str = "mean") -> DataFrame:

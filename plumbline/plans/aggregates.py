@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import stats
+from plumbline.operators import ranks, stats
 from plumbline.plans.registry import register, table
 
 
@@ -66,12 +66,12 @@ def pass_at_k(spark, d):
     count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL) WHERE r = least(n, CAST(floor(n * 0.9::DOUBLE) AS BIGINT) + 1)"""
 )
 def index_percentile(spark, d):
-    return stats.index_percentile_by(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9, "p90")
+    return ranks.index_percentile_by(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9, "p90")
 
 
-@register("SELECT lang, median(n_chars) AS median_chars, count(*) AS n FROM documents GROUP BY lang")
+@register("SELECT lang, median(n_chars) AS median_chars, count(n_chars) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY lang")
 def median_by_group(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.median("n_chars").alias("median_chars"), F.count("*").alias("n"))
+    return ranks.median_by(table(spark, d, "documents"), ["lang"], "n_chars", "median_chars")
 
 
 CLUSTERS = "SELECT c_mktsegment, o_custkey, avg(o_totalprice) AS m FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
@@ -115,7 +115,7 @@ def two_sample_bootstrap(spark, d):
     SELECT c_mktsegment, round(list_sort(list(mean))[6], 4) AS low, round(list_sort(list(mean))[195], 4) AS high FROM b GROUP BY ALL"""
 )
 def predictive_interval(spark, d):
-    draws = stats.cluster_draws(segment_clusters(spark, d), ["c_mktsegment"], "o_custkey", "m", 200, 7, size=F.lit(15).cast("long"))
+    draws = stats.cluster_draws(segment_clusters(spark, d), ["c_mktsegment"], "o_custkey", "m", 200, 7, size=15)
     out = stats.interval(draws, ["c_mktsegment"], 200)
     return out.select("c_mktsegment", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import stats
+from plumbline.operators import ranks, stats
 
 
 def signal_16(spark):
@@ -32,7 +32,7 @@ def test_two_level_mean_is_not_flat(spark):
 def test_index_percentile(spark):
     df = spark.range(10).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
     assert df.groupBy("g").agg(stats.index_percentile(F.collect_list("v"), 0.95).alias("p")).first().p == 9
-    assert stats.index_percentile_by(df, ["g"], "v", 0.5, "p").first().p == 5
+    assert ranks.index_percentile_by(df, ["g"], "v", 0.5, "p").first().p == 5
 
 
 def test_check_rate_null_only_where_the_check_is_unknown(spark):
