@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row, however often body mentions it: else expressions grow by nesting."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fenced_blocks(text: Column) -> Column:
     """The contents of ``` or ```python fences, in order."""
     return F.regexp_extract_all(text, F.lit(r"(?s)```(?:python)?[ \t]*\r?\n(.*?)```"), F.lit(1))
@@ -54,14 +61,16 @@ def short_number(x: Column) -> Column:
 
     Ties are those of the shortest decimal form, rounded up, where C looks at the exact binary value.
     """
-    x = x.cast("double")
-    digits = F.format_string("%.5e", x)  # d.ddddde+xx, rounded as %g rounds
-    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int")
-    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
-    fixed = F.coalesce(*(F.when(power == p, F.format_string(f"%.{5 - p}f", x)) for p in range(-4, 6)))
-    finite = F.when((power < -4) | (power > 5), plain(digits)).otherwise(plain(fixed))
-    sign = F.when(x < 0, "-inf").otherwise("inf")
-    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), sign).otherwise(finite)
+
+    def written(x: Column) -> Column:
+        plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+        fixed = lambda power: F.coalesce(*(F.when(power == p, F.format_string(f"%.{5 - p}f", x)) for p in range(-4, 6)))
+        # d.ddddde+xx, rounded as %g rounds
+        of = lambda digits: let(F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int"), lambda power: plain(F.coalesce(fixed(power), digits)))
+        sign = F.when(x < 0, "-inf").otherwise("inf")
+        return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), sign).otherwise(let(F.format_string("%.5e", x), of))
+
+    return let(x.cast("double"), written)
 
 
 # Fixed values of the loop detector.

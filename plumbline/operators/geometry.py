@@ -41,3 +41,30 @@ def off_axis(faces: DataFrame) -> DataFrame:
     keys = ["part", "ax", "ay", "az", "fx", "fy", "fz", "d"]
     per = keyed.groupBy(*keys).agg(F.sum("area").alias("area")).join(selection.interval_union(keyed, keys, "lo", "hi", GAP), keys)
     return per.filter((F.col("covered") > 0) & (F.col("area") >= FULL * F.pi() * F.col("d") * F.col("covered"))).groupBy("part").agg(F.count("*").alias("n"))
+
+
+# Positions and dimensions closer than these (mm) are the same.
+SAME_PLACE, SAME_SIZE = 1e-7, 1e-9
+
+
+def nested(axes: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, key_a, key_b): pairs of different circles of a part of which the larger one holds the other's centre.
+
+    axes: by, key, x, y, d. Circles of one place and size are one. A grid join: a circle covers the cells of its own
+    level, whose cells are as wide as the next power of two of its diameter (so it touches four at most); every circle
+    looks its centre up once for each level at or above its own that the part has. So circles meet where they may overlap,
+    and a large circle doesn't widen the cells of small ones.
+    """
+    level = F.ceil(F.log2("d")).cast("int")
+    rows = axes.filter(F.col("d") > 0).select(*by, F.col(key).alias("key"), "x", "y", "d", level.alias("level"))
+    cell = lambda v, at: F.floor(v / F.pow(F.lit(2.0), at)).cast("long")
+    ends = lambda c: F.sequence(cell(F.col(c) - F.col("d") / 2, F.col("level")), cell(F.col(c) + F.col("d") / 2, F.col("level")))
+    large = rows.withColumn("cx", F.explode(ends("x"))).withColumn("cy", F.explode(ends("y")))
+    levels = rows.groupBy(*by).agg(F.array_sort(F.collect_set("level")).alias("levels"))  # few: sizes are some powers of two
+    small = rows.join(levels, by).withColumn("at", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
+    small = small.select(*by, *(F.col(c).alias(f"{c}_") for c in ("key", "x", "y", "d")), F.col("at").alias("level"), cell(F.col("x"), F.col("at")).alias("cx"), cell(F.col("y"), F.col("at")).alias("cy"))
+    near = F.hypot(F.col("x") - F.col("x_"), F.col("y") - F.col("y_"))
+    larger = (F.col("d") > F.col("d_")) | ((F.col("d") == F.col("d_")) & (F.col("key") < F.col("key_")))
+    other = ~((near <= SAME_PLACE) & (F.abs(F.col("d") - F.col("d_")) <= SAME_SIZE))
+    found = large.join(small, [*by, "level", "cx", "cy"]).filter(larger & (near < F.col("d") / 2) & other)
+    return found.select(*by, F.least("key", "key_").alias(f"{key}_a"), F.greatest("key", "key_").alias(f"{key}_b"))
