@@ -27,18 +27,18 @@ def group_relative_advantage(spark, d):
 
 
 @register(
-    """WITH e AS (SELECT event_type, user_id, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS r FROM events),
+    """WITH e AS (SELECT event_type, user_id, CASE WHEN value > 50 THEN 1.0 WHEN event_id % 3 < 2 THEN 0.5 ELSE 0.0 END AS r FROM events),
     a AS (SELECT *, abs(r - avg(r) OVER (PARTITION BY event_type, user_id)) AS adv FROM e),
     g AS (SELECT event_type, user_id, count(*) AS n, min(r) AS lo, max(r) AS hi, stddev_pop(r) AS s, avg(adv) AS m FROM a GROUP BY ALL HAVING count(*) > 1)
-    SELECT event_type, count(*) AS groups, round(avg(CASE WHEN lo = hi AND lo >= 1 THEN 1.0 ELSE 0 END), 6) AS all_solved,
+    SELECT event_type, count(*) AS groups, array_to_string(list_sort(list(DISTINCT n)), ',') AS sizes, round(avg(CASE WHEN lo = hi AND lo < 1 AND hi > 0 THEN 1.0 ELSE 0 END), 6) AS same_partial, round(avg(CASE WHEN lo = hi AND lo >= 1 THEN 1.0 ELSE 0 END), 6) AS all_solved,
     round(avg(CASE WHEN lo = hi AND hi <= 0 THEN 1.0 ELSE 0 END), 6) AS all_zero, round(1 - avg(CASE WHEN lo = hi THEN 1.0 ELSE 0 END), 6) AS signal,
     round(avg(s), 6) AS mean_std, round(avg(m), 6) AS mean_abs_advantage FROM g GROUP BY event_type"""
 )
 def flat_group_signal(spark, d):
-    rows = table(spark, d, "events").select("event_type", "user_id", (F.col("value") > 50).cast("double").alias("r")).fillna(0.0, ["r"])
+    rows = table(spark, d, "events").select("event_type", "user_id", F.when(F.col("value") > 50, 1.0).when(F.col("event_id") % 3 < 2, 0.5).otherwise(0.0).alias("r"))
     out = stats.group_signal(rows, ["event_type"], ["user_id"], "r")
-    names = ["all_solved", "all_zero", "signal", "mean_std", "mean_abs_advantage"]
-    return out.select("event_type", "groups", *(F.round(n, 6).alias(n) for n in names))
+    names = ["all_solved", "all_zero", "same_partial", "signal", "mean_std", "mean_abs_advantage"]
+    return out.select("event_type", "groups", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"), *(F.round(n, 6).alias(n) for n in names))
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import selection
+from plumbline.operators import geometry, selection
 from plumbline.plans.registry import register, table
 
 
@@ -56,9 +56,12 @@ def ambiguous_key_join(spark, d):
     return selection.with_ambiguity(rows.select("l_partkey", "l_suppkey").distinct(), rows, ["l_partkey", "l_suppkey"])
 
 
-@register(AMBIGUOUS)
+@register("""SELECT c_custkey, count(o_custkey) > 1 AS ambiguous, CASE WHEN count(o_custkey) = 1 THEN any_value(o_orderkey) END AS o_orderkey, CASE WHEN count(o_custkey) = 1 THEN any_value(o_totalprice) END AS o_totalprice
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def ambiguous_key_join_all(spark, d):
-    return ambiguous_key_join(spark, d)
+    """Asked with every customer, those without orders included."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    return selection.with_ambiguity(table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 
 @register("SELECT l_partkey, l_suppkey, count(*) - 1 AS excess FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -156,3 +159,15 @@ def ordered_fingerprint(spark, d):
     line = F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit('"]'))
     rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("rows"))
     return rows.select("n_regionkey", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["line"]), ","), F.lit("]")), 256).alias("fingerprint"))
+
+
+@register(
+    """WITH c AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, l_extendedprice * 7 % 1000 AS x, l_extendedprice * 13 % 700 AS y, 1 + l_quantity * l_quantity / 200 AS d FROM lineitem)
+    SELECT a.l_suppkey, count(*) AS nested, sum(a.id + b.id)::BIGINT AS ids FROM c a JOIN c b ON a.l_suppkey = b.l_suppkey AND a.id < b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < greatest(a.d, b.d) / 2
+      AND NOT (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1e-7 AND abs(a.d - b.d) <= 1e-9) GROUP BY 1"""
+)
+def nested_circles(spark, d):
+    """Of each supplier's lines as circles: pairs of which one holds the other's centre."""
+    id_, price, size = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_quantity")
+    circles = table(spark, d, "lineitem").select("l_suppkey", id_.alias("id"), (price * 7 % 1000).alias("x"), (price * 13 % 700).alias("y"), (1 + size * size / 200).alias("d"))
+    return geometry.nested(circles, ["l_suppkey"], "id").groupBy("l_suppkey").agg(F.count("*").alias("nested"), F.sum(F.col("id_a") + F.col("id_b")).alias("ids"))

@@ -90,10 +90,11 @@ def answers_of(events):
 @register(
     """WITH a AS (SELECT ts::DATE::VARCHAR AS batch, event_type AS source, user_id, value, length(props) AS tokens, value > 5 AS e FROM events),
     x AS (SELECT batch, unnest(['agg', source]) AS scope, user_id, value, tokens, e, source FROM a), y AS (SELECT *, unnest(CASE WHEN e THEN ['all', 'effective'] ELSE ['all'] END) AS subset FROM x),
-    g AS (SELECT batch, scope, subset, count(*) AS answers, count(DISTINCT user_id) AS "groups", sum(tokens)::BIGINT AS tokens, avg(value) AS reward, count_if(source = 'error')::BIGINT AS failed FROM y GROUP BY ALL)
+    g AS (SELECT batch, scope, subset, count(*) AS answers, count(DISTINCT user_id) AS "groups", sum(tokens)::BIGINT AS tokens, round(avg(value) + 1e-9, 6) AS reward, count_if(source = 'error')::BIGINT AS failed FROM y GROUP BY ALL)
     SELECT *, answers / max(answers) FILTER (WHERE scope = 'agg') OVER (PARTITION BY batch, subset) AS share,
       CAST(sum(answers) OVER w AS BIGINT) AS total_answers, CAST(sum("groups") OVER w AS BIGINT) AS total_groups, CAST(sum(tokens) OVER w AS BIGINT) AS total_tokens FROM g WINDOW w AS (PARTITION BY scope, subset ORDER BY batch)"""
 )
 def step_metrics(spark, d):
     """Metrics of each day as a step, by event type and in all, with running totals."""
-    return steps.running(steps.metrics_by(answers_of(table(spark, d, "events")), ["batch"]))
+    out = steps.running(steps.metrics_by(answers_of(table(spark, d, "events")), ["batch"]))
+    return out.withColumn("reward", F.round(F.col("reward") + 1e-9, 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import changes, prompts, text
 from plumbline.plans.registry import register, table
 
 
@@ -26,7 +26,8 @@ def fenced_extract(spark, d):
 
 @register()
 def fenced_extract_all(spark, d):
-    return fenced_extract(spark, d)
+    """Every turn of every conversation."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(text.code_of(F.col("text")), 256).alias("code"))
 
 
 NORMALISED = r"""SELECT doc_id, left(regexp_replace(text, '[\p{C}\p{Z}]', ' ', 'g'), 300) AS cleaned,
@@ -38,9 +39,10 @@ def normalise_error(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
 
 
-@register(NORMALISED)
+@register(NORMALISED.replace("doc_id", "conv_id, turn").replace("documents", "conversations"))
 def normalise_error_all(spark, d):
-    return normalise_error(spark, d)
+    """Every turn of every conversation."""
+    return table(spark, d, "conversations").select("conv_id", "turn", text.clean_error(F.col("text")).alias("cleaned"), text.error_core(F.col("text")).alias("core"))
 
 
 @register("SELECT event_id, CAST(nullif(regexp_extract(props, '\"k\"[^0-9\\-]{0,3}(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM events")
@@ -97,3 +99,36 @@ def structure_diversity(spark, d):
 def link_scan(spark, d):
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     return table(spark, d, "pages").select("page_id", F.size(links).cast("long").alias("links"))
+
+
+@register(
+    """SELECT conv_id, sha256(coalesce(string_agg(text, chr(10) ORDER BY turn, role, text) FILTER (WHERE turn % 4 <> 3), '')) AS flat FROM conversations GROUP BY conv_id"""
+)
+def completion_flatten(spark, d):
+    """Conversations as completions in JSON, with strings, content blocks and messages without text, flattened."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.col("turn") % 4).alias("form"))
+    said = F.to_json(F.struct("role", F.col("text").alias("content")))
+    blocks = F.to_json(F.struct("role", F.array(F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")))
+    none = F.to_json(F.struct("role", F.lit(7).alias("content")))
+    message = F.when(F.col("form") == 1, blocks).when(F.col("form") == 3, none).otherwise(said)
+    made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", message.alias("m")))).alias("t"))
+    completion = F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["m"]), ","), F.lit("]"))
+    return made.select("conv_id", F.sha2(prompts.completion_text(F.parse_json(completion)), 256).alias("flat"))
+
+
+@register(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity + 60 AS a, l_quantity + 40 AS b, l_discount * 100 + 2 AS m, l_tax * 100 AS t, l_linenumber AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN n <> 5 THEN a + n END AS new_length, CASE WHEN n <> 5 THEN round(a + n - 2 * CASE WHEN n = 3 THEN m + 1 ELSE m END, 6) END AS new_pitch,
+      CASE WHEN n = 5 THEN 'plate thickness (Z) is 4 mm before this change, not 9 mm' END AS failure FROM l"""
+)
+def change_order_fold(spark, d):
+    """A change order for every line item: a new length, for some a new margin, for some a change that doesn't apply."""
+    c, n = F.col, F.col("l_linenumber")
+    a, b, m = c("l_quantity") + 60, c("l_quantity") + 40, F.round(c("l_discount") * 100 + 2, 6)
+    short = text.short_number
+    model = F.concat(F.lit("```python\n.box("), short(a), F.lit(", "), short(b), F.lit(", 4).rect("), short(a - 2 * m), F.lit(", "), short(b - 2 * m), F.lit(f", forConstruction=True).hole(5)\n```\n{changes.HEADER}\n"))
+    line = lambda f, old, new: F.concat(F.lit(f"  - change {changes.LABELS[f]} from "), old, F.lit(" mm to "), new, F.lit(" mm\n"))
+    more = F.when(n == 3, line("edge_margin", short(m), short(m + 1))).when(n == 5, line("thickness", F.lit("9"), F.lit("5"))).otherwise("")
+    order = F.concat(model, line("length", short(a), short(a + n)), more, F.lit(changes.FOOTER))
+    read = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", changes.read_order(order).alias("r"))
+    return read.select("l_orderkey", "l_linenumber", c("r.L").alias("new_length"), F.round("r.PX", 6).alias("new_pitch"), c("r.failure").alias("failure"))

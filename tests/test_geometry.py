@@ -46,8 +46,33 @@ def test_prompts(spark):
     assert frame.select(prompts.from_labels(F.col("t"), False).alias("x")).first().x is None
 
 
-def test_changes(spark):
-    frame = spark.createDataFrame([({"L": 80.0, "W": 60.0}, "L: 80 -> 90\nW: 60 -> 50"), ({"L": 80.0}, "L: 70 -> 90"), ({"L": 80.0}, "Q: 1 -> 2")], "v map<string,double>, c string")
-    rows = [r.x for r in frame.select(prompts.applied(F.col("v"), F.col("c")).alias("x")).collect()]
-    assert (rows[0].v, rows[0].failure) == ({"L": 90.0, "W": 50.0}, None)
-    assert [r.failure for r in rows[1:]] == ["L: 70 -> 90", "Q: 1 -> 2"]
+def test_nested_circles(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [(p, i, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice((0.3, 1.0, 2.0, 7.9, 16.0, 60.0)) if p else 1.0) for p in range(3) for i in range(90)]
+    rows += [(3, 0, 1.0, 1.0, 2.0), (3, 1, 1.0, 1.0, 2.0), (3, 2, 1.0, 1.0, 3.0), (3, 3, 2.0, 1.0, 2.0), (3, 4, 0.0, 0.0, 0.0), (4, 0, 5.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "part int, hole int, x double, y double, d double").repartition(3)
+    want = set()
+    for n, (p, i, x, y, d) in enumerate(rows):
+        for q, j, u, v, e in rows[n + 1 :]:
+            far = math.hypot(x - u, y - v)
+            if p == q and min(d, e) > 0 and not (far <= 1e-7 and abs(d - e) <= 1e-9) and far < max(d, e) / 2:
+                want.add((p, i, j))
+    got = [tuple(r) for r in geometry.nested(df, ["part"], "hole").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (3, 0, 1) not in want and (3, 0, 2) in want
+
+
+def test_completions(spark):
+    import json
+
+    from plumbline.functions import prompts
+
+    cases = {
+        '"plain"': "plain", "null": "", "5": "", '{"content": "x"}': "", "[]": "", '[{"content": "a"}, {"content": "b"}]': "a\nb", '[{"content": null}, {"role": "x"}, 7, "s", {"content": ""}]': "",
+        json.dumps([{"content": [{"type": "text", "text": "a"}, {"type": "image"}, {"text": 5}, "t", {"text": "b"}]}, {"content": "c"}, {"content": 3}, {"content": {"text": "d"}}]): "a\nb\nc", '"é\\n\u2028"': "é\n\u2028",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r.j: r.t for r in df.select("j", prompts.completion_text(F.try_parse_json("j")).alias("t")).collect()} == cases
+    assert df.limit(1).select(prompts.completion_text(F.try_parse_json(F.lit("{no json"))).alias("t")).first().t == ""

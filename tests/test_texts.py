@@ -139,12 +139,12 @@ def test_fenced_extract_of_every_document(spark, whole):
     def code(t):
         return textwrap.dedent(max(re.findall(r"```(?:python)?[ \t]*\r?\n(.*?)```", t, re.S) or [t], key=len)).strip()
 
-    got = {r.doc_id: r.code for r in texts.fenced_extract_all(spark, whole).collect()}
+    got = {r.doc_id: r.code for r in texts.fenced_extract(spark, whole).collect()}
     assert got == {i: hashlib.sha256(code(t).encode()).hexdigest() for i, t in enumerate(WHOLE)}
 
 
 def test_normalise_error_of_every_document(spark, whole):
     from plumbline.plans import texts
 
-    got = {r.doc_id: (r.cleaned, r.core) for r in texts.normalise_error_all(spark, whole).collect()}
+    got = {r.doc_id: (r.cleaned, r.core) for r in texts.normalise_error(spark, whole).collect()}
     assert got == {i: ("".join(c if c.isprintable() else " " for c in t)[:300], re.sub(r"^\w*(?:Error|Exception): ?", "", t)[:80]) for i, t in enumerate(WHOLE)}
