@@ -8,7 +8,6 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import short_number
 from plumbline.operators import selection
 
 SCHEMA = "id string, length double, width double, thickness double, hole_diameter double, edge_margin double, hole_count int"
@@ -81,14 +80,6 @@ def fingerprint(specs: DataFrame, order: str = "id") -> DataFrame:
     return rows.select("split", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["line"]), ","), F.lit("]")), 256).alias("sha256"))
 
 
-def tasks(specs: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
-    """A row per spec and tier: question, answer, info."""
-    size = lambda c: short_number(F.col(c))
-    text = F.concat(F.lit("A plate of "), size("length"), F.lit(" x "), size("width"), F.lit(" x "), size("thickness"), F.lit(" mm with four holes of "), size("hole_diameter"), F.lit(" mm, "), size("edge_margin"), F.lit(" mm from the edges."))
-    rows = specs.withColumn("tier", F.explode(F.array(*map(F.lit, tiers))))
-    return rows.select(F.concat_ws(" ", F.concat(F.lit("["), F.col("tier"), F.lit("]")), text).alias("question"), F.lit("").alias("answer"), F.struct(F.col("id").alias("spec_id"), "tier").alias("info"))
-
-
 def moved(tolerances: dict[str, float], slack: float = 0.25) -> Column:
     """Whether any field of revision A (a_*) differs from the spec by more than its tolerance and slack."""
     out = F.lit(False)

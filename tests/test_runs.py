@@ -192,7 +192,6 @@ def test_specs(spark):
     assert a == b
     # The published fingerprint of the test split.
     assert spec_source.fingerprint(spec_source.locked_split(spark)).first().sha256 == "019d197efecedc079209fcb5900c7d5b2ff894481bc6cc85954826070c30c51b"
-    assert spec_source.tasks(specs).count() == 1150
 
 
 def test_catalogue(spark, tmp_path):
@@ -212,3 +211,39 @@ def test_conformity(spark, tmp_path):
     assert problems(split_sha256="g", thinking=True, temperature=0.7) == ["temperature is not 0.7", "not the locked split with the registered fingerprint", "thinking is not True"]
     assert problems(tiers=("L2",)) == ["there are unregistered tiers"]
     assert problems(n_specs=3) == ["answers of tier L2 are missing or repeated", "answers of tier L4 are missing or repeated"]
+
+
+def test_tasks(spark):
+    from plumbline.sources import tasks
+
+    specs = spec_source.splits(spec_source.sample(spark, 230, spec_source.SAMPLE_SEED))
+    rows = {(r.info.spec_id, r.info.tier): r.question for r in tasks.tasks(specs).collect()}
+    assert len(rows) == 1150
+    plate = next(k[0] for k, q in rows.items() if k[1] == "L4" and ".box(202.5, 148.5, 10.0)" in q)
+    # A published prompt.
+    assert rows[plate, "L4"] == """\
+Below is the current CadQuery model of a mounting plate (rev A).
+
+```python
+import cadquery as cq
+result = (
+    cq.Workplane("XY")
+    .box(202.5, 148.5, 10.0)
+    .faces(">Z").workplane()
+    .rect(176.5, 122.5, forConstruction=True)
+    .vertices()
+    .hole(10.5)
+)
+```
+
+ENGINEERING CHANGE ORDER, rev A -> rev B:
+  - change overall width (Y) from 148.5 mm to 129 mm
+Every other characteristic stays exactly as in rev A: four through holes, one per corner, each hole centre at the stated edge margin from its two nearest edges, part centred on the origin.
+
+Return the complete rev B CadQuery module with the part bound to `result`."""
+    assert "R1  Overall length (X):        202.5 mm\n" in rows[plate, "L0"] and "rectangular, 176.5 mm x 103.0 mm centres\n  R6" in rows[plate, "L1"]
+    assert "one hole near each corner" in rows[plate, "L2"] and rows[plate, "L0"].count("???") == 7 and "129" in rows[plate, "L3"] and rows[plate, "L0"].endswith("closing parenthesis.\n")
+    wordings = {q.split(" ")[0] for (s, t), q in rows.items() if t == "L3"}
+    assert wordings <= {"I", "DRAWING", "Model", "Supplier", "Hi,", "Inspection"} and len(wordings) == 6
+    with pytest.raises(ValueError):
+        tasks.tasks(specs, ["L9"])
