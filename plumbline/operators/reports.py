@@ -99,3 +99,41 @@ def extents(parts: DataFrame, within: float = 1e-7) -> DataFrame:
         F.when(some, F.array_max(x) - F.array_min(x)).alias("pitch_x"), F.when(some, F.array_max(y) - F.array_min(y)).alias("pitch_y"),
         ((F.size("holes") == 4) & once(0, 0) & once(0, 1) & once(1, 0) & once(1, 1)).alias("rectangular"), (some & mirrored).alias("symmetric"),
     )
+
+
+def label_counts(labels: DataFrame, model: str = "model", tier: str = "tier", kind: str = "label") -> DataFrame:
+    """(grain, model, tier, label, n): labels by model, by model and tier, and by kind over models, in one pass."""
+    cube = labels.groupingSets([[F.col(model), F.col(kind)], [F.col(model), F.col(tier), F.col(kind)], [F.col(kind)]], F.col(model), F.col(tier), F.col(kind))
+    out = cube.agg(F.grouping_id(model, tier, kind).alias("g"), F.count("*").alias("n"))
+    grain = F.when(F.col("g") == 2, "model").when(F.col("g") == 0, "model and tier").otherwise("kind")
+    return out.select(grain.alias("grain"), F.col(model).alias("model"), F.col(tier).alias("tier"), F.col(kind).alias("label"), "n")
+
+
+def value_counts(rows: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, value, n): how often each value of each column occurs, nulls as "none"."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(c.cast("string"), F.lit("none")).alias("value")) for n, c in columns.items()))).alias("p")
+    return rows.select(*by, pairs).groupBy(*by, "p.name", "p.value").agg(F.count("*").alias("n"))
+
+
+def versions(metas: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a sorted list per column, mixed): the distinct versions, "?" for none; mixed if the first has several."""
+    lists = [F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("?")))).alias(c) for c in columns]
+    return metas.groupBy(*by).agg(*lists).withColumn("mixed", F.size(columns[0]) > 1)
+
+
+def markdown(rows: DataFrame, order: Sequence[str], most: int = 1000) -> str:
+    """A small report as a Markdown table with LF line ends; more than `most` rows are refused."""
+    found = rows.orderBy(*order).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda v: "–" if v is None else f"{v:g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [rows.columns, ["---"] * len(rows.columns), *([cell(v) for v in r] for r in found)]
+    return "".join(f"| {' | '.join(line)} |\n" for line in lines)
+
+
+def write_report(rows: DataFrame, path: str, order: Sequence[str], title: str) -> None:
+    """A report as JSON lines and as Markdown below path; an existing one is not overwritten. Spark writes both, so path
+    may be in any store that Spark writes."""
+    rows.orderBy(*order).coalesce(1).write.mode("errorifexists").json(f"{path}/json")
+    text = f"# {title}\n\n{markdown(rows, order)}"
+    rows.sparkSession.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(f"{path}/markdown")

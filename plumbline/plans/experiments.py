@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers
-from plumbline.operators import arms, replication, reports, training, validation
+from plumbline.operators import arms, guards, replication, reports, training, validation
 from plumbline.plans.registry import register, table
 
 HIGH = ("1-URGENT", "2-HIGH")
@@ -175,3 +175,43 @@ def sensitivity(spark, d):
 def run_stamps(spark, d):
     ts = F.col("ts")
     return table(spark, d, "events").select("event_id", numbers.run_id(ts).alias("run_id"), numbers.iso(ts).alias("started"), numbers.snapped(F.col("value")).alias("snapped"))
+
+
+@register(
+    """SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN 'kind' WHEN grouping(o_orderpriority) = 1 THEN 'model' ELSE 'model and tier' END AS grain, c_mktsegment AS model, o_orderpriority AS tier, o_orderstatus AS label, count(*) AS n
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY GROUPING SETS ((c_mktsegment, o_orderstatus), (c_mktsegment, o_orderpriority, o_orderstatus), (o_orderstatus))"""
+)
+def label_counts(spark, d):
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("model"))
+    rows = table(spark, d, "orders").join(customers, "o_custkey").select("model", F.col("o_orderpriority").alias("tier"), F.col("o_orderstatus").alias("label"))
+    return reports.label_counts(rows)
+
+
+@register(
+    """SELECT l_returnflag, name, value, count(*) AS n FROM (SELECT l_returnflag, unnest(['status', 'tax', 'large']) AS name, unnest([l_linestatus, (l_tax * 100)::INT::VARCHAR, CASE WHEN l_quantity > 25 THEN 'true' WHEN l_quantity > 5 THEN 'false' ELSE 'none' END]) AS value FROM lineitem) GROUP BY ALL"""
+)
+def value_counts(spark, d):
+    large = F.when(F.col("l_quantity") > 25, True).when(F.col("l_quantity") > 5, False)
+    return reports.value_counts(table(spark, d, "lineitem"), {"status": F.col("l_linestatus"), "tax": F.round(F.col("l_tax") * 100).cast("int"), "large": large}, ["l_returnflag"])
+
+
+@register("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses, count(DISTINCT o_orderstatus) > 1 AS mixed FROM orders GROUP BY 1")
+def mixed_versions(spark, d):
+    out = reports.versions(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "statuses"), ["statuses"], ["o_custkey"])
+    return out.withColumn("statuses", F.array_join("statuses", ","))
+
+
+@register(
+    """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus IN ('F', 'O') AND o_custkey % 50 = 0 THEN 'a model provider needs a model' END, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'hints and a prompt file exclude each other' END,
+      CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 5 > 0 THEN 'the test split is locked' END, CASE WHEN (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderstatus <> 'P' THEN 'the arm does not allow a hint' END,
+      CASE WHEN NOT (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderstatus = 'P' THEN 'the arm requires a hint' END], lambda x: x IS NOT NULL), '; ') AS problems FROM orders"""
+)
+def launch_guards(spark, d):
+    """Orders as runs that are to be launched."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    runs = table(spark, d, "orders").select(
+        "o_orderkey", F.when(status == "P", "baseline").otherwise("openai").alias("provider"), F.when(F.col("o_custkey") % 50 != 0, "m").alias("model"), F.when(F.col("o_orderpriority") == "1-URGENT", "test").otherwise("eval").alias("split"),
+        (key % 5 == 0).alias("unlocked"), F.when(status == "P", "hint").otherwise("first-shot").alias("arm"), (key % 2 == 0).alias("hints"), F.when(key % 3 == 0, "file").alias("prompt_file"), F.lit(0).alias("retries"),
+        F.lit(1.0).alias("price_in"), F.lit(2.0).alias("price_out"),
+    )
+    return guards.launch(runs).select("o_orderkey", F.array_join("problems", "; ").alias("problems"))
