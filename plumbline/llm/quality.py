@@ -62,6 +62,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     spread = np.sqrt(np.maximum(sums(length**2) * per_word - mean**2, 0))
     repeats = np.zeros(len(hashes), bool)
     repeats[1:] = hashes[1:] == hashes[:-1]
+    repeats[by[:-1][words > 0]] = False  # a document's first word repeats none, whatever stands before it
     distinct, top, lines, distinct_lines, longest = (np.zeros(n) for _ in range(5))
     breaks = np.flatnonzero(data == 10)
     for i in range(n):
