@@ -56,12 +56,12 @@ def ambiguous_key_join(spark, d):
     return selection.with_ambiguity(rows.select("l_partkey", "l_suppkey").distinct(), rows, ["l_partkey", "l_suppkey"])
 
 
-@register("""SELECT c_custkey, count(o_custkey) > 1 AS ambiguous, CASE WHEN count(o_custkey) = 1 THEN any_value(o_orderkey) END AS o_orderkey, CASE WHEN count(o_custkey) = 1 THEN any_value(o_totalprice) END AS o_totalprice
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@register("SELECT o_custkey, o_orderpriority, o_orderstatus, count(*) > 1 AS ambiguous, CASE WHEN count(*) = 1 THEN any_value(o_totalprice) END AS o_totalprice FROM orders GROUP BY ALL")
 def ambiguous_key_join_all(spark, d):
-    """Asked with every customer, those without orders included."""
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return selection.with_ambiguity(table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"])
+    """Orders asked with every customer's priorities and states."""
+    keys = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+    rows = table(spark, d, "orders").select(*keys, "o_totalprice")
+    return selection.with_ambiguity(rows.select(*keys).distinct(), rows, keys)
 
 
 @register("SELECT l_partkey, l_suppkey, count(*) - 1 AS excess FROM lineitem GROUP BY ALL HAVING count(*) > 1")
