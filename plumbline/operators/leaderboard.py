@@ -6,24 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import selection, stats
-from plumbline.operators.scoring import all_checks_pass
+from plumbline.operators.scoring import GATES, all_checks_pass
 from plumbline.sources.runs import Runs
 
 HEADLINE = ("L1", "L2", "L3", "L4")
+# The checks of the requirements, by their recorded names.
+CHECKS = (
+    "R1:length", "R2:width", "R3:thickness", "R4a:hole_count", "R4b:hole_diameter", "R5:hole_pattern", "R6:material", "R7:edge_margin", "R8:z_datum", "R9:no_other_features",
+)
 
 
 def summary(runs: Runs) -> DataFrame:
-    """One row per (run_id, tier): two-level means, rates, counts and cost."""
+    """One row per (run_id, tier): two-level means, rates, counts and cost, and maps of the pass rate of each check (null
+    where other checks are known, but not this one) and of the failure rate of each gate among what was built.
+
+    A cost counts as unknown where there was usage without a cost.
+    """
     answers = runs.answers.withColumn("passed", (F.col("reward") >= 1.0).cast("double"))
     per_spec = answers.groupBy("run_id", "tier", "spec_id").agg(F.avg("reward").alias("r"), F.avg("passed").alias("p"))
     means = per_spec.groupBy("run_id", "tier").agg(F.count("*").alias("specs"), F.avg("r").alias("mean_reward"), F.avg("p").alias("pass_rate"))
     flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     built = F.coalesce("built", F.lit(False))
+    pair = lambda names, rate: F.create_map(*(x for n in names for x in (F.lit(n), rate(n))))
+    fails = lambda g: stats.rate(~F.coalesce(F.try_element_at("checks", F.lit(g)), F.lit(True)), built)
     counts = answers.groupBy("run_id", "tier").agg(
         F.count("*").alias("n"), F.median("reward").alias("median_reward"), F.avg(built.cast("double")).alias("built_rate"),
         stats.rate(F.coalesce("gates_passed", F.lit(False)), built).alias("gate_rate"), flag(F.col("timeout")).alias("timeouts"),
-        flag(F.col("cut_off")).alias("truncated"), flag(F.col("is_loop")).alias("loops"), F.count("api_error").alias("api_errors"),
-        F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unknown_cost"),
+        flag(F.col("cut_off")).alias("truncated"), flag(F.col("is_loop")).alias("loops"), F.count_if(F.coalesce("api_error", F.lit("")) != "").alias("api_errors"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull() & F.col("usage.completion_tokens").isNotNull()).alias("unknown_cost"),
+        pair(CHECKS, lambda c: stats.check_rate("checks", c)).alias("per_check"), pair(GATES, fails).alias("per_gate_fail"),
     )
     out = means.join(counts, ["run_id", "tier"])
     return out.withColumn("flagged", F.col("truncated") + F.col("api_errors") > 0.05 * F.col("n"))

@@ -37,6 +37,19 @@ def test_ranking(spark, tmp_path):
     assert rows["stray"].headline is None and rows["stray"]["rank"] is None
 
 
+def test_summary_of_checks_and_gates(spark, tmp_path):
+    gate, length, width = "gate:single_solid", "R1:length", "R2:width"
+    meta = {"meta": {"run_id": "r", "model": "m", "max_tokens": 100}}
+    rows = [
+        answer("a", built=True, checks={gate: True, length: True}, cost_usd=0.5, usage={"completion_tokens": 5}), answer("b", built=True, checks={gate: False}, usage={"completion_tokens": 5}, api_error="", reward=0.0),
+        answer("c", built=False, checks={}, api_error="late", reward=0.0), answer("d", built=True, checks={length: True}, cost_usd=0.25),
+    ]
+    write_lines(tmp_path / "r.jsonl", meta, *rows)
+    row = leaderboard.summary(source.scan(spark, str(tmp_path))).first()
+    assert row.per_check[length] == 0.5 and row.per_check[width] is None and row.per_gate_fail == {g: (1 / 3 if g == gate else 0.0) for g in leaderboard.GATES}
+    assert (row.api_errors, row.unknown_cost, row.cost_usd, row.n, row.specs) == (1, 1, 0.75, 4, 4)
+
+
 def test_duplicate_run_is_refused(spark, tmp_path):
     write_run(tmp_path, "1", "m", lambda t, s: True)
     write_run(tmp_path, "1", "m", lambda t, s: True, name="copy")
