@@ -18,17 +18,18 @@ def latest_clean_row(spark, d):
     return selection.latest_clean(rows, ["o_custkey"], F.col("o_orderstatus") != "F", "o_orderkey")
 
 
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 @register(
-    """WITH p AS (SELECT n_nationkey, s.c_mktsegment FROM nation, (SELECT DISTINCT c_mktsegment FROM customer) s),
-    q AS (SELECT DISTINCT c_nationkey AS n_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000)
+    f"""WITH p AS (SELECT c_custkey AS custkey, unnest({list(PRIORITIES)}) AS priority FROM customer), q AS (SELECT DISTINCT o_custkey AS custkey, o_orderpriority AS priority FROM orders)
     SELECT *, 'missing' AS problem FROM (SELECT * FROM p EXCEPT SELECT * FROM q) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM q EXCEPT SELECT * FROM p)"""
 )
 def coverage_missing_extra(spark, d):
-    customers = table(spark, d, "customer")
-    segments = customers.select("c_mktsegment").distinct()
-    planned = table(spark, d, "nation").select("n_nationkey").withColumn("_", F.lit(1)).join(segments.withColumn("_", F.lit(1)), "_").drop("_")  # nations by segments: the plan itself
-    seen = customers.filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
-    return selection.coverage(planned, seen, ["n_nationkey", "c_mktsegment"])
+    """Every customer should have ordered at every priority."""
+    planned = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.explode(F.array(*map(F.lit, PRIORITIES))).alias("priority"))
+    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"))
+    return selection.coverage(planned, seen, ["custkey", "priority"])
 
 
 @register(
