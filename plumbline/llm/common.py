@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -127,6 +128,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def tidy() -> None:
+    """Gives free memory of a Python worker back to the system: workers wait for further tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose string column holds about `most` bytes each, so that arrays made from it stay small."""
     text = batch.column(column)
@@ -136,6 +145,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(o, int(o[at]) + most, "right")) - 1)
         yield batch.slice(at, min(end, len(text)) - at)
         at = end
+    tidy()
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

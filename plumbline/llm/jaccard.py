@@ -143,13 +143,13 @@ class Join:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, 3):
+                for part in slices(batch, 3, 1 << 18):
                     sizes = [len(s) for s in shingle_sets(*buffers(part.column(3)), words)]
                     yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(0), pa.array(sizes, pa.int64())], names=["node", "k2", "doc_id", "n"])
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, 3):
+                for part in slices(batch, 3, 1 << 18):
                     made = [signatures(s, percent) for s in shingle_sets(*buffers(part.column(3)), words)]
                     nodes = np.repeat(part.column(1).to_numpy(), [len(m[0]) for m in made])
                     signs, bands, parts = (np.concatenate([m[i] for m in made]) for i in range(3))
@@ -157,7 +157,7 @@ class Join:
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, 1):
+                for part in slices(batch, 1, 1 << 18):
                     sets = shingle_sets(*buffers(part.column(1)), words)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 

@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(*buffers(part.column(3))) for part in slices(batch, 3))])
+            x = np.concatenate([np.zeros((0, N_FEATURES)), *(features(*buffers(part.column(3))) for part in slices(batch, 3, 1 << 18))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "h", "x"])
 
     # Of rows that repeat an id one counts, by the hash of its text.
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = pa.array(np.concatenate([np.zeros(0), *(model.score(features(*buffers(part.column(at).fill_null(""))), threshold) for part in slices(batch, at))]))
+            s = pa.array(np.concatenate([np.zeros(0), *(model.score(features(*buffers(part.column(at).fill_null(""))), threshold) for part in slices(batch, at, 1 << 18))]))
             columns = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, s], names=[*(batch.schema.names if keep else ["doc_id"]), score_name])
 

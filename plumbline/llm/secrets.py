@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import whole_texts
+from plumbline.llm.common import tidy, whole_texts
 
 
 @dataclass(frozen=True)
@@ -377,6 +377,7 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
                 data = (text or "").encode()
                 found = scanner.find(data)
                 texts.append(redact(text, code_points(data, text.isascii(), found)) if found else text)
+            tidy()
             columns = batch.columns
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
