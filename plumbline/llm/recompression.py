@@ -8,9 +8,10 @@ parts alone, a run and a symbol that stays alone need their neighbours, and the
 a window holds a symbol if it holds that range.
 
 Each window is represented by the highest symbol it holds (ties by name). Spark shuffles these symbols by name over all
-documents; those that occur once are dropped, and the others meet by name, each with the hashes of the windows around it.
-Within a name, a window whose hash occurs earlier is a repeat. Names of many symbols are judged in parts, and the first
-windows of the parts meet by their own hashes, so no task gets all places of a frequent name.
+documents; those that occur once are dropped, and the others meet by name, each with the hashes of the windows that it
+represents and of those between them. Within a name, a window whose hash occurs earlier is a repeat. Names of many symbols
+are judged in parts. Only what is first in its part goes on, and that meets by its own hash: a window comes at most once
+from a part, and no task gets all places of a frequent name.
 
 Nulls and texts of fewer than `window` words lose nothing. Documents with equal texts are folded first: the first stands
 for all, later ones lose every window. Rows that repeat an id with another text are ordered by a hash of the text, null ids
@@ -79,6 +80,15 @@ def symbols(words: np.ndarray, by_doc: np.ndarray, window: int, rounds: int = RO
 
 def anchors(words: np.ndarray, by_doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, start, end) of the symbols that represent some window."""
+    return representatives(words, by_doc, window)[:3]
+
+
+def representatives(words: np.ndarray, by_doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, end, offsets) of the symbols that represent some window.
+
+    The windows that a symbol represents start lo to hi words before it; offsets is lo * window + hi. Some in between may
+    have another symbol. Equal windows have equal symbols at equal places, so these alone need to meet.
+    """
     n = len(words)
     level, name, a, b = symbols(words, by_doc, window)
     order = np.argsort(a, kind="stable")  # so that ties go by place
@@ -93,73 +103,81 @@ def anchors(words: np.ndarray, by_doc: np.ndarray, window: int) -> tuple[np.ndar
         # At most one symbol of a level has a given range; the highest level counts.
         np.maximum.at(best, a[mine], key[mine])
     starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e - window + 1) for s, e in zip(by_doc[:-1], by_doc[1:], strict=True) if e - s >= window)])
-    chosen = np.unique(best[starts] & U(0xFFFFFFFF)).astype(np.int64)
-    return mix(name[chosen] + size[chosen].astype(U) * U(0x9E3779B97F4A7C15)), a[chosen], b[chosen]
+    mine = (best[starts] & U(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(mine, kind="stable")  # starts ascend within a symbol
+    chosen, first, count = np.unique(mine[order], return_index=True, return_counts=True)
+    lo, hi = a[chosen] - starts[order[first + count - 1]], a[chosen] - starts[order[first]]
+    return mix(name[chosen] + size[chosen].astype(U) * U(0x9E3779B97F4A7C15)), a[chosen], b[chosen], lo * window + hi
 
 
 def word_anchors(window: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 3):
+        for part in slices(batch, 3, 1 << 18):
             words, by = word_hashes(*buffers(part.column(3)))
-            fp, a, b = anchors(words, by, window)
+            fp, a, _, offsets = representatives(words, by, window)
             doc = np.searchsorted(by, a, "right") - 1
             k1 = part.column(1).to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(k1), pa.array((a - by[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32))], names=["fp", "k1", "pos", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(k1), pa.array((a - by[doc]).astype(np.int32)), pa.array(offsets.astype(np.int32))], names=["fp", "k1", "pos", "size"])
 
     return run
 
 
+def each_window(size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset) of every window of the rows, from lo to hi in each, and where the windows of a row begin and end."""
+    lo, hi = np.divmod(size, window)
+    ends = np.append(0, np.cumsum(hi - lo + 1))
+    row = np.repeat(np.arange(len(size)), hi - lo + 1)
+    return row, np.arange(len(row)) - ends[row] + lo[row], ends
+
+
+def blobs(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The hashes of each row in one binary value."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes))])
+
+
 def window_hashes(window: int):
-    """The hashes of the windows that hold an anchor: entry o is the one that starts o words before it, 0 if none does."""
+    """The hashes of an anchor's windows, by offset."""
 
     def cut(texts, doc, pos, size):
         data, offsets = buffers(texts)
         words, by = word_hashes(data, offsets, family=1)
-        n = len(words)
-        hashes = np.zeros(n + 1, U)
-        found = gram_hashes(words, window, 0x9E3779B97F4A7C15) | U(1)
-        hashes[: len(found)] = found
-        o = np.arange(window)
-        at = by[doc][:, None] + pos[:, None] - o
-        ok = (o <= (window - size)[:, None]) & (at >= by[doc][:, None]) & (at + window <= by[doc + 1][:, None])
-        table = np.where(ok, hashes[np.clip(at, 0, n)], U(0))
-        keep = ok.any(axis=1)
-        lengths = window - size + 1
-        rows = [r[:k].tobytes() for r, k in zip(table[keep], lengths[keep], strict=True)]
-        return keep, [pa.array(rows, pa.binary())]
+        hashes = gram_hashes(words, window, 0x9E3779B97F4A7C15) | U(1)  # 0 means none
+        row, o, ends = each_window(size, window)
+        return np.ones(len(doc), bool), [blobs(hashes[(by[doc] + pos)[row] - o], ends)]
 
     return cut
 
 
 def later_windows(window: int):
     def judge(table: pa.Table):
-        fp, k1, pos, size = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "k1", "pos", "size"))
-        ids = table.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
-        order = np.lexsort([pos, k1, ids, fp])
-        blobs = table.column("windows").to_pylist()
-        n = len(blobs)
-        grid = np.zeros((n, window), U)
-        for i, blob in enumerate(blobs):
-            row = np.frombuffer(blob, U)
-            grid[i, : len(row)] = row
-        group = mix(fp.view(U) + U(0x51ED270B))
-        removed, stands = np.zeros((n, window), bool), np.zeros(n, bool)
-        for o in range(window):
-            live = order[grid[order, o] != 0]
-            if not len(live):
-                continue
-            _, first = np.unique(grid[live, o] ^ group[live], return_index=True)  # the first of each in order
-            again = np.ones(len(live), bool)
-            again[first] = False
-            removed[live[again], o] = True
-            stands[live[first]] = True
-        row, o = np.nonzero(removed)
-        starts = pos[row] - o
+        fp, k1, pos, size, salts = (table.column(c).combine_chunks().to_numpy() for c in ("fp", "k1", "pos", "size", "salts"))
+        ids = table.column("doc_id").combine_chunks()
+        none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        hashes = buffers(table.column("windows"))[0].view(U)
+        row, o, ends = each_window(size, window)
+        # Texts in order, null ids last.
+        order = np.lexsort([k1, ids, none])
+        new = np.append(False, (k1[order][1:] != k1[order][:-1]) | (ids[order][1:] != ids[order][:-1]) | (none[order][1:] != none[order][:-1]))
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.cumsum(new)
+        place = (nth[row] << 32) + pos[row] - o
+        # The first of each window within its name; others are removed, if they are at another place.
+        key = hashes ^ mix(fp.view(U) + U(0x51ED270B))[row]
+        live = np.flatnonzero(hashes)
+        live = live[np.lexsort([place[live], key[live]])]
+        head = np.append(True, key[live][1:] != key[live][:-1])[: len(live)]
+        first = live[head]
+        again = live[place[live] != place[first][np.cumsum(head) - 1]]
+        rows, starts = row[again], pos[row[again]] - o[again]
         # Neighbouring windows of a row join here.
         far = int(pos.max(initial=0)) + 2 * window
-        s, e = union(row * far + starts, row * far + starts + window)
+        s, e = union(rows * far + starts, rows * far + starts + window)
         rows = s // far
-        return rows, s - rows * far, e - rows * far, np.flatnonzero(stands)
+        # Only parts of a name go on, and of them the windows that no earlier row of the part has.
+        left = np.zeros_like(hashes)
+        left[first] = hashes[first]
+        stand = np.unique(row[first[salts[row[first]] > 1]])
+        return rows, s - rows * far, e - rows * far, stand, {"windows": blobs(left, ends).take(pa.array(stand))}
 
     return judge
 
@@ -169,19 +187,14 @@ def meeting_windows(window: int):
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(4)]
-            if not each:
-                continue
-            offset = np.concatenate([np.arange(len(x)) for x in each])
-            row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-            hashes = np.concatenate(each)
-            some = hashes != 0
-            at = pa.array(row[some])
-            start = batch.column(3).to_numpy()[row[some]] - offset[some]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(start), pa.array(hashes[some])], names=["fp", "doc_id", "k1", "start", "hash"])
+            row, o, _ = each_window(batch.column(4).to_numpy(), window)
+            hashes = buffers(batch.column(5))[0].view(np.int64)
+            some = np.flatnonzero(hashes)
+            start = batch.column(3).to_numpy()[row] - o
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row[some])) for i in range(3)), pa.array(start[some]), pa.array(hashes[some])], names=["fp", "doc_id", "k1", "start", "hash"])
 
     def meet(rows: DataFrame) -> DataFrame:
-        spread_ = rows.select("fp", "doc_id", "k1", "pos", "windows").mapInArrow(spread, "fp long, doc_id long, k1 long, start long, hash long")
+        spread_ = rows.select("fp", "doc_id", "k1", "pos", "size", "windows").mapInArrow(spread, "fp long, doc_id long, k1 long, start long, hash long")
         place = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "start")  # null ids come last
         firsts = spread_.groupBy("fp", "hash").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").select("fp", "hash", "place")
         again = spread_.join(firsts, ["fp", "hash"]).filter(place != F.col("place"))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SAMPLE, Shelf, U, bit_words, flagged, mix, repeated, text_batches, whole_texts
+from plumbline.llm.common import SAMPLE, Shelf, U, bit_words, flagged, mix, repeated, text_batches, tidy, whole_texts
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,7 +44,7 @@ def inflated(texts: pa.Array) -> pa.Array:
 
 
 #: Bytes of texts, and hits in them, that are worked on together; a longer text is alone.
-TEXTS, HITS = 1 << 24, 100_000
+TEXTS, HITS = 1 << 20, 100_000
 
 
 def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -118,17 +118,19 @@ class Corpus:
                         ids = batch.column("doc_id").take(pa.array(doc[keep]))
                         fp, salt, salts, k1, pos, size = (pa.array(x[keep]) for x in (fp, salt, salts, k1, pos, size))
                         yield pa.RecordBatch.from_arrays([fp, salt, salts, ids, k1, pos, size, *columns], names=names)
+                tidy()
 
         return packed(self.distinct()).drop("k2").join(hits, "k1").select("doc_id", "k1", "ztext", "hits").mapInArrow(run, f"fp long, salt long, salts int, doc_id long, k1 long, pos long, size long, {extra}")
 
     def spans(self, segments: DataFrame, judge: Callable, extra: str, split: Callable | None = None, meet: Callable | None = None, group_rows: int = 20_000) -> DataFrame:
         """Spans (doc_id, k1, start, end) of all windows that recur.
 
-        judge(rows of whole groups, as a dict of arrays) -> (rows, starts, ends of spans; rows that stand for their
-        windows). Groups of many rows are judged in parts, by salt; then those that stand for the windows of their part
-        meet: meet(rows) -> their spans, by the windows themselves. Without `meet` they are judged by group again; if
-        they are more than group_rows, they are first split by what the windows have in common: split(rows with the
-        range lo..hi of offsets) -> the rows with parts of the range and a key each.
+        judge(rows of whole groups, as a table) -> (rows, starts, ends of spans; rows of parted groups that stand for
+        their windows, others needn't be left out; columns of `extra` that they carry on in place of their own). Groups
+        of many rows are judged in parts, by salt; then those that stand for the windows of their part meet: meet(rows)
+        -> their spans, by the windows themselves. Without `meet` they are judged by group again; if they are more than
+        group_rows, they are first split by what the windows have in common: split(rows with the range lo..hi of
+        offsets) -> the rows with parts of the range and a key each.
         """
         names = ["fp", "salts", "doc_id", "k1", "pos", "size", *(c.split()[0] for c in extra.split(", "))]
         ddl = f"fp long, salts int, doc_id long, k1 long, pos long, size long, {extra}, start long, end long"
@@ -137,16 +139,18 @@ class Corpus:
         def level(last: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for table in whole_groups(batches, by if last else ["fp", "salt"], apart=2 if last and len(by) > 1 else 0):
-                    rows, starts, ends, stand = judge(table)
+                    rows, starts, ends, stand, carried = judge(table)
                     at = np.concatenate([rows, stand]) if not last else rows
                     none = len(at) - len(rows)
                     arrays = [table.column(n).combine_chunks().take(pa.array(at)) for n in names]
-                    if last or none < len(at):  # spans carry no context along
+                    if last or carried or none < len(at):  # spans carry no context along
                         wide = range(6, len(names))
                         for i in wide:
-                            arrays[i] = pa.concat_arrays([pa.nulls(len(rows), arrays[i].type), arrays[i].slice(len(rows))])
+                            own = arrays[i].slice(len(rows))
+                            arrays[i] = pa.concat_arrays([pa.nulls(len(rows), arrays[i].type), own if last else carried.get(names[i], own)])
                     bounds = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(none, pa.int64())]) for x in (starts, ends)]
                     yield pa.RecordBatch.from_arrays([*arrays, *bounds], names=[*names, "start", "end"])
+                    tidy()
 
             return run
 

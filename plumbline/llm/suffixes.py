@@ -317,7 +317,7 @@ def equal_strings(length: int, gram: int):
         far = int(ends.max(initial=0)) + 2 * length
         s, e = union(row * far + starts, row * far + ends)
         rows = s // far
-        return rows, s - rows * far, e - rows * far, np.flatnonzero(later < strings)
+        return rows, s - rows * far, e - rows * far, np.flatnonzero(later < strings), {}
 
     return judge
 

@@ -289,6 +289,52 @@ def test_groups_judged_in_parts(spark):
         assert {r[0]: tuple(r[1:]) for r in corpus.finish(spans, finish, names).collect()} == brute
 
 
+@pytest.mark.parametrize("window", [6, 20])
+def test_equal_windows_have_equal_representatives(window):
+    """Each window is among those of one symbol at least, and the symbol that stands for a passage does so in all contexts."""
+    rng = np.random.default_rng(11)
+    names = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    for _ in range(500):
+        passage = names[rng.integers(0, rng.integers(1, 7), window)]
+        found = []
+        for _ in range(2):
+            left, right = (names[rng.integers(0, 6, rng.integers(0, 30))] for _ in range(2))
+            words = np.concatenate([left, passage, right])
+            fp, a, b, offsets = recompression.representatives(words, np.array([0, len(words)]), window)
+            lo, hi = np.divmod(offsets, window)
+            assert (lo >= 0).all() and (lo <= hi).all() and (hi <= window - (b - a)).all()
+            assert {s for x, i, j in zip(a, lo, hi, strict=True) for s in range(x - j, x - i + 1)} == set(range(len(words) - window + 1))
+            at = (a - hi <= len(left)) & (len(left) <= a - lo)
+            found.append(set(zip(fp[at].tolist(), (a[at] - len(left)).tolist(), strict=True)))
+        assert found[0] & found[1]
+
+
+@pytest.mark.parametrize("docs", [120, 240])
+def test_parts_send_each_window_once(spark, docs):
+    """A passage in ever more surroundings, in four tasks: only what is first in its task meets, however large the parts."""
+    passage = " ".join(f"s{j}" for j in range(40))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(25)), passage, *(f"b{i}x{j}" for j in range(25))])) for i in range(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    corpus = recompression.Corpus(df, "doc_id", "text")
+    segments = corpus.around(corpus.meeting(recompression.word_anchors(20), group_rows=docs // 6), recompression.window_hashes(20), "windows binary")
+    met = []
+
+    def meet(rows):
+        met.append(recompression.meeting_windows(20)(rows).count())
+        return recompression.meeting_windows(20)(rows)
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        spans = corpus.spans(segments, recompression.later_windows(20), "windows binary", meet=meet)
+    finally:
+        spark.conf.set(key, before)
+    assert {r[0]: tuple(r[1:]) for r in corpus.finish(spans, recompression.kept_words(20), "n long, removed long, kept string").collect()} == brute_words(rows, 20)
+    # 21 windows, each first in at most four tasks; two symbols may hold one.
+    assert 0 < met[0] <= 2 * 21 * 3
+
+
 def test_frequent_line_with_different_surroundings(spark):
     """No group of suffixes is larger than allowed, though all rows of the line's anchors survive the first level."""
     line = "".join(f"licence line {i} " for i in range(12))[:190]
