@@ -100,12 +100,17 @@ def interval_union(df: DataFrame, by: Sequence[str], low: str, high: str, gap: f
 
 
 def running_stop(df: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, budget: float) -> DataFrame:
-    """Rows before the one at which what was spent plus the average so far would pass the budget."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    """Rows before the one at which what was spent plus the average so far would pass the budget.
+
+    Rows without an order come last. Rows of the same order stop together; among them the cheaper are spent first.
+    """
+    w = Window.partitionBy(*by)
+    places = [F.asc_nulls_last(c) for c in order]
+    before = w.orderBy(*places, F.asc_nulls_last(cost)).rowsBetween(Window.unboundedPreceding, -1)
     spent, n = F.coalesce(F.sum(cost).over(before), F.lit(0.0)), F.count(cost).over(before)
     stop = (spent + F.when(n > 0, spent / n).otherwise(0.0)) > budget
-    return df.withColumn("_s", stop.cast("int")).withColumn("_s", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_s = 0").drop("_s")
+    upto = w.orderBy(*places).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # peers too
+    return df.withColumn("_s", stop.cast("int")).withColumn("_s", F.max("_s").over(upto)).filter("_s = 0").drop("_s")
 
 
 def abort_after(df: DataFrame, by: Sequence[str], order: Sequence[str], error: Column, times: int) -> DataFrame:

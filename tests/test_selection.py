@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import matching, selection
+from plumbline.plans import registry
 
 
 def test_latest_clean_beats_newer_dirty(spark):
@@ -45,6 +47,24 @@ def test_cuts(spark):
     assert selection.abort_after(e, ["g"], ["i"], F.col("x") == "e", 3).count() == 6
 
 
+def test_budget_stop_of_peers_and_of_rows_without_an_order(spark, tmp_path):
+    """As in SQL: rows of the same ts and event_id stop together, and rows without a ts come last."""
+    day = lambda n: None if n is None else f"2024-01-{n:02d} 00:00:00"
+    rows = [(1, 1, 10, 300.0), (1, 1, 10, 300.0), (1, 1, 10, 300.0), (2, 2, 10, 1.0)]  # 600 + 300 at the third: all go on, the next doesn't
+    rows += [(3, 1, 11, 600.0)] * 2 + [(4, 2, 11, 1.0)]  # 600 + 600 at the second: neither is kept
+    rows += [(5, None, 12, 900.0), (6, 1, 12, 100.0), (7, 2, 12, 100.0), (None, 3, 12, 100.0), (8, 3, 12, None)]
+    rows += [(9, 1, 13, float("nan")), (10, 2, 13, 1.0), (11, 1, None, 500.0), (12, 2, None, 500.0)]
+    df = spark.createDataFrame([(e, day(t), u, v) for e, t, u, v in rows], "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    df.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r[:2]) + (repr(r[2]),)
+    got = sorted(map(tuple, registry.QUERIES["running_budget_stop"](spark, str(tmp_path)).collect()), key=key)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duck.execute(registry.ORACLE_SQL["running_budget_stop"]).fetchall(), key=key)
+    assert repr(got) == repr(want)
+    assert sorted(r[0] or 0 for r in got) == [0, 1, 1, 1, 5, 6, 7, 8, 9, 11, 12]
+
+
 def test_stratified_split_and_global_rank(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("area"))
     got = selection.global_rank(df.repartition(5), ["area", "id"]).orderBy("rank").collect()
