@@ -83,7 +83,9 @@ DRAWS = """c AS (SELECT c_mktsegment, m, row_number() OVER (PARTITION BY c_mktse
 
 
 def segment_clusters(spark, d):
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Means of customers; those without a segment meet no pick in SQL."""
+    customers = table(spark, d, "customer").filter("c_mktsegment is not null")
+    rows = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("c_mktsegment", "o_custkey").agg(F.avg("o_totalprice").alias("m"))
 
 

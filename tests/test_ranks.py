@@ -1,14 +1,17 @@
 """Order statistics, numbering, resampling and shuffles against plain Python."""
 
+import hashlib
 import math
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import numbers, text
 from plumbline.operators import ranks, stats
+from plumbline.plans import registry
 
 
 def values(seed):
@@ -49,6 +52,48 @@ def test_both_ways_of_resampling_agree(spark):
         assert few == many and len(few) == 90
 
 
+@pytest.mark.parametrize("prefix, low, high", [(b"", 0, 10), (b"20261001|99|", 1234560, 1234999), (b"x" * 45, 4294967290, 4294967300)])
+def test_hashes_of_many_numbers(prefix, low, high):
+    assert numbers.md5_heads(prefix, low, high).tolist() == [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(low, high)]
+    with pytest.raises(ValueError):
+        numbers.md5_heads(prefix, 5, 11)
+
+
+@pytest.mark.parametrize("held", [stats.HELD, 400, 7])
+def test_draws_of_all_clusters(spark, held):
+    """Groups with names as order, nulls and a null group, held whole or in parts; picks are no rows of a plan."""
+    rng = random.Random(4)
+    rows = [(g, f"s{i:05d}", None if rng.random() < 0.1 else rng.gauss(5, 2)) for g, n in (("a", 1500), ("b", 130), ("c", 1), (None, 12)) for i in range(n)] + [("d", "s", None)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "g string, spec string, v double").repartition(5)
+    out = stats.whole_draws(df, ["g"], "spec", "v", 40, 9, held=held)
+    want = {}
+    for g in {g for g, *_ in rows}:
+        values = [v for _, v in sorted((s, v) for x, s, v in rows if x == g)]
+        for draw in range(40):
+            took = [values[int(hashlib.md5(f"9|{draw}|{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
+            known = [v for v in took if v is not None]
+            want[g, draw] = round(sum(known) / len(known), 9) if known else None
+    got = out.collect()
+    assert {(r.g, r.draw): r["mean"] if r["mean"] is None else round(r["mean"], 9) for r in got} == want and len(got) == len(want)
+    plan = stats.cluster_draws(df, ["g"], "spec", "v", 40, 9, together=10)._jdf.queryExecution().toString()
+    assert "md5" not in plan and "explode(sequence(0, 39" not in plan
+    assert stats.whole_draws(df.limit(0), ["g"], "spec", "v", 40, 9, held=held).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cluster_bootstrap_ci", "two_sample_bootstrap", "predictive_interval"])
+def test_bootstraps_without_some_values(spark, tmp_path, name):
+    """Customers without a segment, prices and keys that are null: the same as in SQL."""
+    rng = random.Random(name)
+    customers = [(i, rng.choice(("A", "B", "C", None))) for i in range(400)]
+    orders = [(i, rng.choice((None, rng.randrange(500))), None if rng.random() < 0.2 else round(rng.uniform(1, 999), 2)) for i in range(900)]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    for t in ("customer", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(duck.execute(registry.ORACLE_SQL[name]).fetchall())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 200, 5003])
 def test_permutations(spark, n):
     df = spark.range(n)
