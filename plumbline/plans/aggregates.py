@@ -106,8 +106,9 @@ def cluster_bootstrap_ci(spark, d):
 )
 def two_sample_bootstrap(spark, d):
     draws = stats.cluster_draws(segment_clusters(spark, d), ["c_mktsegment"], "o_custkey", "m", 100, 20261004)
-    a, z = (draws.select(F.col("c_mktsegment").alias(s), "draw", F.col("mean").alias(m)) for s, m in (("left_segment", "x"), ("right_segment", "y")))
-    diff = a.join(z, "draw").filter("left_segment < right_segment").withColumn("mean", F.col("x") - F.col("y"))
+    each = draws.groupBy("draw").agg(F.collect_list(F.struct("c_mktsegment", "mean")).alias("all"))  # a row per segment
+    pairs = each.select("draw", "all", F.explode("all").alias("a")).select("draw", "a", F.explode("all").alias("z"))
+    diff = pairs.select(F.col("a.c_mktsegment").alias("left_segment"), F.col("z.c_mktsegment").alias("right_segment"), (F.col("a.mean") - F.col("z.mean")).alias("mean")).filter("left_segment < right_segment")
     out = stats.interval(diff, ["left_segment", "right_segment"], 100)
     return out.select("left_segment", "right_segment", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 

@@ -94,6 +94,12 @@ def test_bootstraps_without_some_values(spark, tmp_path, name):
     assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(duck.execute(registry.ORACLE_SQL[name]).fetchall())
 
 
+def test_two_samples_share_their_draws(spark):
+    """Every pair of segments meets in the same draws, which are made once."""
+    plan = registry.QUERIES["two_sample_bootstrap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [_bucket") == 1  # what tells the tasks of the draws
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 200, 5003])
 def test_permutations(spark, n):
     df = spark.range(n)
